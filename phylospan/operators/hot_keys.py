@@ -41,5 +41,5 @@ def hit_summary(hits: DataFrame) -> DataFrame:
     return by_reference.groupBy("q_name").agg(
         F.sum("n_hits").alias("n_hits"), F.count("t_name").alias("n_references"), F.sum("n_match").alias("n_match"),
         F.min("min_start").alias("min_start"), F.max("max_end").alias("max_end"),
-        F.round(F.sum("identity_sum").cast("double") / F.nullif(F.sum("identity_n"), F.lit(0)), 4).alias("mean_identity"),
+        (F.sum("identity_sum").cast("double") / F.nullif(F.sum("identity_n"), F.lit(0))).alias("mean_identity"),
     )

@@ -86,7 +86,7 @@ HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM first_div_output)""",
     "p3_key_summary": f"""
 SELECT q_name, count(*) AS n_hits, count(DISTINCT t_name) AS n_references, sum(n_match)::bigint AS n_match,
   min(q_start) AS min_start, max(q_end) AS max_end,
-  round(sum(pct_identity::decimal(12,5))::double / nullif(count(pct_identity), 0), 4) AS mean_identity
+  sum(pct_identity::decimal(12,5))::double / nullif(count(pct_identity), 0) AS mean_identity
 FROM (SELECT * REPLACE ({_CLEAN.format('q_name')} AS q_name) FROM first_div_output)
 WHERE q_name IS NOT NULL GROUP BY q_name""",
     "p4_found": f"""
