@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylospan.llm import packing, species, tokenise
+from phylospan.llm import leakage, packing, species, tokenise
 from phylospan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 SQL: dict[str, str] = {}
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p5_packing": p5_packing, "p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p5_packing": p5_packing, "p6_ids": p6_ids, "p7_found": p7_found}
