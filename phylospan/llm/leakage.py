@@ -1,8 +1,9 @@
 """Evaluation passages inside training text (problem 7).
 
 A positional inverted index is made of the training text: for each three-word term that occurs in an evaluation item,
-the documents and word positions that hold it. Terms are counted over all documents; the rarest term of every three
-neighbouring ones of an item is looked up in the index, which gives the (document, item) pairs to look at. Their full
+the documents and word positions that hold it. Terms are counted over all documents; the rarer of every two
+neighbouring ones of an item is looked up in the index; documents that hold several of an item's at about one offset
+are looked at. Their full
 lists are intersected by offset (position in the document less position in the item): equal offsets are exact
 phrases, offsets that differ by a word or two nearby are phrases with a word changed, added or dropped.
 """
@@ -25,6 +26,9 @@ TERM_WORDS = 3
 MIN_WORDS = 15
 BLOCK_ITEMS = 20_000
 NEAR_WORDS = 8
+#: Of two neighbouring terms of an item the rarer one is looked up. Even with two changed words, fifteen words then hold
+#: two of these, five or more words apart, at offsets that differ by no more than the words added or dropped.
+RAREST_OF, SPREAD, DRIFT = 2, 5, 2
 
 #: Tags, the target of a piped link and the name of an inline template: they stand between words, not for words.
 MARKUP = r"</?[a-z][^<>]*>|\[\[[^\[\]|]*\||\{\{[a-z]+\||&[a-z0-9#]{1,8};"
@@ -138,13 +142,18 @@ def _find(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list
     ]
     item_terms = spark.createDataFrame(rows, "item_id bigint, item_pos int, term int")
     postings = materialise(documents.mapInArrow(_postings(spark.sparkContext.broadcast(index)), "term int, doc_id bigint, pos int"))
+    postings = postings.repartition("doc_id")
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, 2)
+    ahead = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, RAREST_OF - 1)
     counted = item_terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.select("item_id", F.min(F.struct("n", "item_pos", "term")).over(ahead).alias("x")).select("item_id", "x.term").distinct()
-    pairs = postings.join(rarest, "term").select("doc_id", "item_id").distinct()
+    rarest = counted.select("item_id", F.min(F.struct("n", "item_pos", "term")).over(ahead).alias("x")).select("item_id", "x.item_pos", "x.term").distinct()
+    # Both lists have a row a term of the block's items: at most block_items times an item's words.
+    looked_up = postings.join(F.broadcast(rarest), "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("off"))
+    nearby = Window.partitionBy("doc_id", "item_id").orderBy("off").rangeBetween(0, DRIFT)
+    spread = F.max("item_pos").over(nearby) - F.min("item_pos").over(nearby)
+    pairs = looked_up.withColumn("spread", spread).where(F.col("spread") >= SPREAD).select("doc_id", "item_id").distinct()
     hits = (
-        postings.join(pairs, "doc_id").join(item_terms, ["item_id", "term"])
+        postings.join(pairs, "doc_id").join(F.broadcast(item_terms), ["item_id", "term"])
         .select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("off"))
     )
     along = Window.partitionBy("doc_id", "item_id", "off").orderBy("pos")

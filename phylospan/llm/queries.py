@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylospan.llm import leakage, packing, species, tokenise
+from phylospan.llm import leakage, packing, pii, species, tokenise
 from phylospan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 SQL: dict[str, str] = {}
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p5_packing": p5_packing, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found, "p5_packing": p5_packing, "p6_ids": p6_ids, "p7_found": p7_found,
+    "p8_found": p8_found, "p8_redacted": p8_redacted,
+}
