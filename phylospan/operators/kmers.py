@@ -12,13 +12,25 @@ from pyspark.sql import functions as F
 from phylospan.operators.islands import number_islands
 
 
+WINDOW = 64
+
+
 def seeds(sequences: DataFrame, k: int, seq_id: str, seq: str, step: int = 1) -> DataFrame:
-    """(seq_id, pos, seed): every k letters at each step; sequences shorter than k and null ones give none."""
-    at = F.posexplode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(step)))
-    return (
-        sequences.where(F.length(seq) >= k).select(F.col(seq_id).alias("seq_id"), F.col(seq).alias("_seq"), at.alias("_n", "pos"))
-        .select("seq_id", "pos", F.substring(F.col("_seq"), F.col("pos") + 1, F.lit(k)).alias("seed"))
-    )
+    """(seq_id, pos, seed): every k letters at each step; sequences shorter than k and null ones give none.
+
+    Long texts are first cut into short overlapping windows, since taking letters out of the middle of a string costs
+    its whole length.
+    """
+    stride = WINDOW * step
+    windows = (
+        sequences.where(F.length(seq) >= k)
+        .select(F.col(seq_id).alias("seq_id"), F.col(seq).alias("_seq"), F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(stride))).alias("_first"))
+        .select("seq_id", "_first", F.substring(F.col("_seq"), F.col("_first") + 1, F.lit(stride - step + k)).alias("_window"))
+    )
+    inner = F.explode(F.sequence(F.lit(0), F.length("_window") - k, F.lit(step)))
+    return windows.select("seq_id", "_first", "_window", inner.alias("_at")).select(
+        "seq_id", (F.col("_first") + F.col("_at")).alias("pos"), F.substring(F.col("_window"), F.col("_at") + 1, F.lit(k)).alias("seed")
+    )
 
 
 def seed_counts(table: DataFrame) -> DataFrame:

@@ -71,4 +71,4 @@ def joined_members(members: DataFrame, keys: list[str], order: list[str], column
     rows = members.groupBy(*keys, "region").agg(
         F.first("region_start").alias("q_start"), F.first("region_end").alias("q_end"), F.sort_array(F.collect_list(entry)).alias("members")
     )
-    return rows.select(*keys, "q_start", "q_end", *(F.array_join(F.transform("members", lambda m, c=c: m[f"m_{c}"]), "|").alias(c) for c in columns))
+    return rows.select(*keys, "q_start", "q_end", *(F.array_join(F.col(f"members.m_{c}"), "|").alias(c) for c in columns))
