@@ -67,6 +67,7 @@ Julia Laura Carlos Juan José Luis Pablo Sofía Marta Sven Uwe Ingrid Hélène F
 Henry Edward Charles Emily Jane Ahmed Fatima Yuki Kenji Ravi Priya Chen Wei Olga Ivan
 """.split())
 TITLES = frozenset("dr mr mrs ms prof frau herr mme mlle m sr sra srta don doña monsieur madame sir".split())
+STARTERS = frozenset("le la les l' un une des depuis après selon vers en chaque plus d'abord ensuite puis mme m signalé appelez tél el los las desde según cada hacia der die das in the a an on".split())
 NOT_NAMES = frozenset("port upper the in after before each two for by according a an user category reported someone letters route".split())
 
 _given_folded = frozenset(x.lower() for x in GIVEN)
@@ -171,6 +172,11 @@ def features(text: str, span: Span, rivals: tuple[bool, bool]) -> list[str]:
         out.append(f"order={''.join('i' if i else 'g' if g else 'x' for g, i in zip(given, initial))}{'c' if ', ' in body else ''}")
     elif kinds == "a":
         out += [f"unit={bool(re.search(r'Unit|Flat|Apt|bajo|º', body))}", f"dot={body.endswith('.')}", f"begins={'digit' if body[0].isdigit() else 'word'}"]
+        out.append(f"starter_last={body.rsplit(' ', 1)[-1].lower().rstrip('.') in STARTERS}")
+        tail = re.search(rf"(?:(de la|de|du|des|aux|au|à la|del) )?((?:[{_CAP}][\w'’\-]+ ?)+)$", body)
+        if tail:
+            out.append(f"after_preposition={bool(tail[1])} capitals={len(tail[2].split())}")
+        out.append(f"starter_next={bool(right) and right[0].rstrip('.:') in STARTERS}")
     else:
         out += [f"plain={'@' in body and ' ' not in body}"]
     return out

@@ -101,6 +101,18 @@ Sie wohnt noch immer ADDR_DE, Neustadt.
 Der Eigentümer zog 1999 aus ADDR_DE fort.
 | domicile = ADDR_FR
 Courrier : ADDR_FR La mairie ferma.
+Courrier : ADDR_FR Le pont ferma.
+Courrier : ADDR_FR Depuis 1999, le pont est fermé.
+Courrier : ADDR_FR Chaque hiver, le pont ferme.
+Courrier : ADDR_FR En 1999, le pont ferma.
+Courrier : ADDR_FR Passeport n° IDNO
+Courrier : ADDR_FR Tél. : PHONE
+Courrier : ADDR_FR Signalé par NAME.
+Courrier : ADDR_FR Mme NAME dirigea les fouilles.
+Courrier : ADDR_FR Corrections à envoyer à MAIL.
+Courrier : ADDR_FR NAME dessina le bâtiment en 1999.
+Courrier : ADDR_FR Selon NAME, le pont ferma.
+Courrier : ADDR_FR
 Elle habite toujours ADDR_FR, à Neuville.
 Le propriétaire quitta le ADDR_FR en 1999.
 | domicilio = ADDR_ES
@@ -208,7 +220,7 @@ def _fill(rng: random.Random, word: str) -> str:
     if word == "ADDR_DE":
         return f"{{address|{pick(('Kirchstr.', 'Lindenweg', 'Mühlgasse', 'Zum Steg', 'Am Alten Tor', 'Brunnenstraße', 'Hirtenallee'))} {number}{pick(('', 'a', ' c', 'b'))}}}"
     if word == "ADDR_FR":
-        return f"{{address|{number}{pick(('', ' bis', ' ter'))}{pick((',', ''))} {pick(('rue des Lilas', 'bd de la Gare', 'impasse des Forges', 'place aux Herbes', 'avenue du Vieux-Pont'))}}}"
+        return f"{{address|{number}{pick(('', ' bis', ' ter'))}{pick((',', ''))} {pick(('rue des Lilas', 'bd de la Gare', 'impasse des Forges', 'place aux Herbes', 'avenue du Vieux-Pont', 'rue Victor Hugo', 'avenue Jean Jaurès'))}}}"
     if word == "ADDR_ES":
         return f"{{address|{pick(('Calle del Olmo', 'C/ Sastres', 'Camino de la Fuente', 'Plaza del Trigo', 'Paseo del Prado', 'Avda. de la Noria'))}{pick((',', ', nº', ''))} {number}{pick(('', ', bajo', ', 2º B'))}}}"
     return word
