@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Shared length of two intervals; 0 when they only touch or lie apart."""
-    return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))
+    """Shared length of two intervals; 0 when they only touch or lie apart, or an end is null."""
+    known = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()
+    return F.when(known, F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))).otherwise(F.lit(0))
 
 
 def percent_identity(matches: Column, start: Column, end: Column) -> Column:
@@ -22,8 +23,8 @@ def identity_at_least(matches: Column, start: Column, end: Column, least: Column
 
 
 def crude_identity(len1: Column, len2: Column, matches: Column) -> Column:
-    """Matches over the shorter length in percent; -1 where a length is 0 (the hit filter discards those)."""
-    shorter = F.least(len1, len2)
+    """Matches over the shorter length in percent; -1 where a length is 0 (the hit filter discards those), null where one is null."""
+    shorter = F.when(len1.isNotNull() & len2.isNotNull(), F.least(len1, len2))
     return F.when(shorter == 0, F.lit(-1.0)).otherwise(F.try_divide(matches * F.lit(100.0), shorter.cast("double")))
 
 

@@ -37,3 +37,8 @@ def first_token(col: Column) -> Column:
 def is_digits(col: Column) -> Column:
     """True for a non-empty run of 0-9; null input gives false."""
     return F.coalesce(col.rlike("^[0-9]+$"), F.lit(False))
+
+
+def strip_space(col: Column) -> Column:
+    """The text without white space (tabs and line ends too) at either end."""
+    return F.regexp_replace(col, r"^\s+|\s+\z", "")

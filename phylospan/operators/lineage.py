@@ -49,7 +49,8 @@ def pair_divergence(pairs: DataFrame, paths: DataFrame, left: str, right: str) -
 
     Each distinct unordered pair of leaves is computed once. NA leaves give a reason; a name that isn't in the tree too.
     """
-    low, high = F.least(left, right), F.greatest(left, right)
+    both = F.col(left).isNotNull() & F.col(right).isNotNull()  # least and greatest would skip a null
+    low, high = F.when(both, F.least(left, right)), F.when(both, F.greatest(left, right))
     distinct = pairs.select(low.alias("leaf_lo"), high.alias("leaf_hi")).where("leaf_lo is not null and leaf_hi is not null").distinct()
     known = (
         distinct.join(paths.select(F.col("name").alias("leaf_lo"), F.col("path").alias("path_lo")), "leaf_lo")

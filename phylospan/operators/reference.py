@@ -46,7 +46,8 @@ def closest_pairs(edges: DataFrame, least: float = 95.0, left: str = "id1", righ
 
 def lookup_pair(rows: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFrame:
     """rows with `ani` of the unordered pair, null when the table lacks it."""
-    keyed = rows.withColumns({"id_lo": F.least(left, right), "id_hi": F.greatest(left, right)})
+    both = F.col(left).isNotNull() & F.col(right).isNotNull()
+    keyed = rows.withColumns({"id_lo": F.when(both, F.least(left, right)), "id_hi": F.when(both, F.greatest(left, right))})
     return keyed.join(pairs, ["id_lo", "id_hi"], "left").drop("id_lo", "id_hi")
 
 

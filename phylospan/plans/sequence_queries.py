@@ -54,7 +54,7 @@ def _item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _item_seeds(spark, sf_dir, SEED)
     documents = _seeds(spark, sf_dir, SEED)
     # Only seeds that occur in an item can be joined, so only these are counted.
-    relevant = documents.join(items.select("seed").distinct(), "seed", "left_semi")
+    relevant = materialise(documents.join(items.select("seed").distinct(), "seed", "left_semi").select("seq_id", "pos", "seed"))
     return kmers.seed_hits(relevant, items, kmers.heavy_seeds(relevant, HEAVY))
 
 
@@ -168,8 +168,8 @@ doc AS (SELECT * FROM ({_seed_sql('documents', 'doc_id', SEED)}) WHERE seed IN (
 heavy AS (SELECT seed FROM doc GROUP BY 1 HAVING count(*) > {HEAVY}),
 h AS (SELECT doc.seq_id AS q_id, it.seq_id AS t_id, doc.pos AS q_pos, it.pos AS t_pos FROM doc JOIN it ON doc.seed = it.seed WHERE doc.seed NOT IN (SELECT seed FROM heavy))"""
 
-_TOLERANT = """
-t AS (SELECT line_id, file_name, string_split(trim(raw_line), chr(9)) AS f FROM raw_psl_lines WHERE NOT starts_with(raw_line, '#')),
+_TOLERANT = r"""
+t AS (SELECT line_id, file_name, string_split(regexp_replace(raw_line, '^\s+|\s+\z', '', 'g'), chr(9)) AS f FROM raw_psl_lines WHERE NOT starts_with(raw_line, '#')),
 ok AS (SELECT * FROM t WHERE len(f) = 21 AND f[1] <> 'match')"""
 
 
@@ -208,7 +208,7 @@ SELECT seq_id, label, votes FROM ranked WHERE k = 1""",
     "q32_safe_cast_policies": f"""WITH {_TOLERANT}, s AS (SELECT file_name, {_int('f[12]')} AS start FROM ok)
 SELECT file_name, count(*) AS n_rows, count(start) AS n_skip, sum(coalesce(start, 0))::bigint AS sum_zero, sum(start)::bigint AS sum_null, max(coalesce(start, -1)) AS max_minus FROM s GROUP BY 1""",
     "q33_species_file_normalise": f"""
-WITH l AS (SELECT trim(t_name) AS seq_id, t_species AS s, hit_id FROM first_div_output WHERE t_name IS NOT NULL AND trim(concat_ws(chr(9), t_name, t_species)) <> '' AND NOT starts_with(trim(t_name), '#'))
+WITH l AS (SELECT trim(t_name) AS seq_id, t_species AS s, hit_id FROM first_div_output WHERE t_name IS NOT NULL AND t_name <> '' AND NOT starts_with(trim(t_name), '#'))
 SELECT seq_id, {v._LABEL.format('s')} AS species FROM (SELECT seq_id, coalesce(max_by(coalesce(s, ''), hit_id), '') AS s FROM l GROUP BY 1)""",
     "q34_taxon_name_parse": "SELECT DISTINCT t_name AS seq_id, trim(split_part(t_species || ' (taxid', '(', 1)) AS species FROM first_div_output WHERE t_name IS NOT NULL AND t_species IS NOT NULL",
     "q44_report_labels": r"""

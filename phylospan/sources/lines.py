@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phylospan.functions.text import first_token, is_digits, normalise_label
+from phylospan.functions.text import first_token, is_digits, normalise_label, strip_space
 from phylospan.operators.malformed import HIT_COLUMNS, N_FIELDS
 
 
@@ -23,8 +23,8 @@ def chunk_index(file: Column) -> Column:
 
 
 def tolerant_hits(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The other columns of lines and `fields`: trimmed lines of exactly 21 tab-separated columns that aren't a header."""
-    fields = F.split(F.trim(F.col(line)), "\t")
+    """The other columns of lines and `fields`: stripped lines of exactly 21 tab-separated columns that aren't a header."""
+    fields = F.split(strip_space(F.col(line)), "\t")
     return lines.withColumn("fields", fields).where((F.size("fields") == N_FIELDS) & (F.col("fields")[0] != "match") & ~F.startswith(F.col(line), F.lit("#"))).drop(line)
 
 
@@ -53,7 +53,7 @@ def tsv_rows(lines: DataFrame, columns: list[str], numeric: str | None = None, l
 def species_rows(lines: DataFrame, line: str = "line", order: str = "line_no", normalise: bool = True) -> DataFrame:
     """(seq_id, species): blank and '#' lines skipped, a line without a label or with a word for none is unclassified
     (normalise=False keeps words and drops lines without a label), the last line of an id wins."""
-    text = F.trim(F.col(line))
+    text = strip_space(F.col(line))
     fields = F.split(text, "\t")
     rows = lines.where((text != "") & ~F.startswith(text, F.lit("#"))).select(fields.alias("f"), F.col(order).alias("_order"))
     label = F.try_element_at("f", F.lit(2))
