@@ -194,7 +194,7 @@ def resolve_values(values: DataFrame, species: DataFrame, frequency: DataFrame |
     blocks = max(1, -(-names.count() // block_names))
     # An explicit number of partitions: the strings are few bytes but costly, so they must not be coalesced into one task.
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = values.select("value").where(F.col("value").isNotNull()).distinct().repartition(spread, "value")
+    distinct = values.select("value").where(F.col("value").isNotNull()).distinct().repartition(spread)
     context = values.sparkSession.sparkContext
     found: DataFrame | None = None
     for b in range(blocks):
