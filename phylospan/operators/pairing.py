@@ -7,7 +7,11 @@ begin before its end and could still overlap it by as much as the best so far.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospan.functions import intervals as iv
@@ -24,24 +28,48 @@ def number_hits(hits: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
     return number_islands(rows, keys, ["i"], "q_start", "q_end", 0, "stretch", inclusive=False)
 
 
+def _sweep(keys: list[str]):
+    """The sweep over hits that come sorted by (keys, i): each hit waits until its end or its best overlap rules out more."""
+    group = [*keys, "stretch"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, waiting = None, []
+        for batch in batches:
+            found: list[tuple] = []
+            columns = (batch[c].tolist() for c in (*group, "i", "q_start", "q_end", "t_species"))
+            for *key, i, start, end, species in zip(*columns):
+                if key != current:
+                    current, waiting = key, []
+                still = []
+                for hit in waiting:
+                    first, low, high, label, best = hit
+                    if start > high or high - start < best:
+                        continue
+                    shared = min(high, end) - start
+                    if shared > 0 and (label != species or label is None or label == UNCLASSIFIED):
+                        found.append((*key, first, i, shared))
+                        hit[4] = best = max(best, shared)
+                        if best == high - low:
+                            continue
+                    still.append(hit)
+                still.append([i, start, end, species, 0])
+                waiting = still
+            yield pd.DataFrame(found, columns=[*group, "i", "j", "overlap"])
+
+    return run
+
+
 def candidate_pairs(numbered: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, stretch, i, j, overlap) of the pairs that the sweep looks at.
 
     For hit i and later j: overlap above 0, not the same classified species; then the sweep's stops: j counts only while
-    no earlier candidate of i covers i whole and i's end less j's start is at least the best overlap so far.
+    no earlier candidate of i covers i whole and i's end less j's start is at least the best overlap so far. Hits stream
+    through in order and only candidates come out, so a deep pile of hits never becomes all of its pairs.
     """
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("i", "q_start", "q_end", "t_species")]
-    left = numbered.select(*keys, "stretch", *side("l"))
-    right = numbered.select(*keys, "stretch", *side("r"))
-    same = (F.col("l_t_species") == F.col("r_t_species")) & (F.col("l_t_species") != UNCLASSIFIED)
-    pairs = left.join(right, [*keys, "stretch"]).where(
-        (F.col("r_i") > F.col("l_i")) & (F.col("r_q_start") < F.col("l_q_end")) & (F.col("l_q_start") < F.col("r_q_end")) & ~F.coalesce(same, F.lit(False))
-    )
-    pairs = pairs.withColumn("overlap", iv.overlap_length(F.col("l_q_start"), F.col("l_q_end"), F.col("r_q_start"), F.col("r_q_end")))
-    before = Window.partitionBy(*keys, "l_i").orderBy("r_i").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("overlap").over(before)
-    keep = F.col("best").isNull() | ((F.col("best") < F.col("l_q_end") - F.col("l_q_start")) & (F.col("l_q_end") - F.col("r_q_start") >= F.col("best")))
-    return pairs.withColumn("best", best).where(keep).select(*keys, "stretch", F.col("l_i").alias("i"), F.col("r_i").alias("j"), "overlap")
+    types = dict(numbered.dtypes)
+    ddl = ", ".join(f"{c} {types[c]}" for c in [*keys, "stretch"]) + ", i int, j int, overlap bigint"
+    rows = numbered.select(*keys, "stretch", "i", "q_start", "q_end", "t_species").where("q_start < q_end")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "i").mapInPandas(_sweep(keys), ddl)
 
 
 def judge_pair(pair: DataFrame, least: float = 1.0) -> DataFrame:
@@ -66,20 +94,26 @@ def judge_pair(pair: DataFrame, least: float = 1.0) -> DataFrame:
 def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, overlap) of the matching that takes edges by (largest overlap, i, j) and uses each hit once.
 
-    The edges of one stretch are folded in order inside the JVM; a stretch holds hits that overlap within a chunk.
+    The edges of a stretch stream through in this order; a task remembers only the hits of one stretch that are used.
     """
-    entry = F.struct((-F.col("overlap")).alias("rank"), "i", "j")
-    groups = edges.groupBy(*keys, "stretch").agg(F.sort_array(F.collect_list(entry)).alias("edges"))
-    nothing = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<rank:bigint,i:int,j:int>>").alias("taken"))
-
-    def step(state: Column, edge: Column) -> Column:
-        free = ~F.array_contains(state["used"], edge["i"]) & ~F.array_contains(state["used"], edge["j"])
-        taken = F.struct(edge["rank"].cast("bigint").alias("rank"), edge["i"].cast("int").alias("i"), edge["j"].cast("int").alias("j"))
-        more = F.struct(F.concat(state["used"], F.array(edge["i"].cast("int"), edge["j"].cast("int"))).alias("used"), F.concat(state["taken"], F.array(taken)).alias("taken"))
-        return F.when(free, more).otherwise(state)
-
-    matched = groups.select(*keys, F.explode(F.aggregate("edges", nothing, step)["taken"]).alias("m"))
-    return matched.select(*keys, "m.i", "m.j", (-F.col("m.rank")).alias("overlap"))
+    group = [*keys, "stretch"]
+    types = dict(edges.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used = None, set()
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for k, (*key, i, j) in enumerate(zip(*(batch[c].tolist() for c in (*group, "i", "j")))):
+                if key != current:
+                    current, used = key, set()
+                if i not in used and j not in used:
+                    used.update((i, j))
+                    keep[k] = True
+            yield batch.loc[keep, [*keys, "i", "j", "overlap"]]
+
+    columns = [*keys, "i", "j", "overlap"]
+    placed = edges.select(*group, "i", "j", "overlap").repartition(*group).sortWithinPartitions(*group, F.desc("overlap"), "i", "j")
+    return placed.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in columns))
 
 
 def overlap_pairs(numbered: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from phylospan.functions.text import clean_id
 
 TILE_BP = 1 << 18
 FOLD_ROWS = 200_000
+MERGE_LISTS = 256  # lists of one group and tile that a task holds before it merges them
 
 
 def union_sorted(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,50 +101,60 @@ def _fold(keys: list[str]):
     return run
 
 
-def _combine(keys: list[str]):
+def _combine(keys: list[str], reach: int):
     """Merges the lists of each (keys, tile), which come sorted, and emits finished segments and one edge row a tile."""
     group = [*keys, "tile"]
     columns = [*group, "kind", "seg_start", "seg_end", "first_start", "first_stop", "last_start", "last_stop", "n"]
 
-    def emit(key: tuple, tree: IntervalTree) -> pd.DataFrame:
-        start, stop = tree.result()
-        n = len(start)
-        inner = max(0, n - 2)
-        gaps = max(0, n - 1)
-        size = 1 + inner + gaps
-        out = {c: [v] * size for c, v in zip(group, key)}
-        zero = np.zeros(size, np.int64)
-        out["kind"] = ["edge"] + ["period"] * inner + ["gap"] * gaps
-        seg_start, seg_end = zero.copy(), zero.copy()
-        seg_start[1 : 1 + inner], seg_end[1 : 1 + inner] = start[1 : n - 1] if inner else [], (stop[1 : n - 1] - 1) if inner else []
-        seg_start[1 + inner :], seg_end[1 + inner :] = stop[: n - 1] - 1, start[1:]
-        out["seg_start"], out["seg_end"] = seg_start, seg_end
-        for name, value in (("first_start", start[0]), ("first_stop", stop[0]), ("last_start", start[-1]), ("last_stop", stop[-1]), ("n", n)):
-            column = zero.copy()
-            column[0] = value
-            out[name] = column
+    def emit(done: list[tuple[tuple, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        """The rows of finished groups, by array operations over all of them at once."""
+        n = np.array([len(x[1]) for x in done], np.int64)
+        start, stop = np.concatenate([x[1] for x in done]), np.concatenate([x[2] for x in done])
+        first = np.concatenate(([0], np.cumsum(n)[:-1]))
+        last = first + n - 1
+        of = np.repeat(np.arange(len(done)), n)
+        at = np.arange(len(start))
+        inner, before_gap = np.flatnonzero((at != first[of]) & (at != last[of])), np.flatnonzero(at != last[of])
+        which = np.concatenate((np.arange(len(done)), of[inner], of[before_gap]))
+        zero = np.zeros(len(inner) + len(before_gap), np.int64)
+        out = {c: [done[g][0][k] for g in which] for k, c in enumerate(group)}
+        out["kind"] = np.repeat(np.array(["edge", "period", "gap"], object), (len(done), len(inner), len(before_gap)))
+        out["seg_start"] = np.concatenate((np.zeros(len(done), np.int64), start[inner], stop[before_gap] - reach))
+        out["seg_end"] = np.concatenate((np.zeros(len(done), np.int64), stop[inner] - reach, start[before_gap + 1] if len(before_gap) else start[:0]))
+        for name, value in (("first_start", start[first]), ("first_stop", stop[first]), ("last_start", start[last]), ("last_stop", stop[last]), ("n", n)):
+            out[name] = np.concatenate((value, zero))
         return pd.DataFrame(out)[columns]
 
+    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(parts) == 1:
+            return parts[0]
+        tree = IntervalTree()
+        for part in parts:
+            tree.add(part)
+        return tree.result()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tree = None, IntervalTree()
-        done: list[pd.DataFrame] = []
+        key, parts = None, []
+        done: list[tuple[tuple, np.ndarray, np.ndarray]] = []
         pending = 0
         for batch in batches:
-            names = zip(*(batch[c].tolist() for c in group))
-            for now, starts, stops in zip(names, batch["starts"], batch["stops"]):
+            for *now, starts, stops in zip(*(batch[c].tolist() for c in group), batch["starts"], batch["stops"]):
+                now = tuple(now)
                 if now != key:
                     if key is not None:
-                        done.append(emit(key, tree))
-                        pending += len(done[-1])
+                        done.append((key, *merge(parts)))
+                        pending += len(done[-1][1])
                         if pending >= 50_000:
-                            yield pd.concat(done, ignore_index=True)
+                            yield emit(done)
                             done, pending = [], 0
-                    key, tree = now, IntervalTree()
-                tree.add((np.asarray(starts, np.int64), np.asarray(stops, np.int64)))
+                    key, parts = now, []
+                parts.append((np.asarray(starts, np.int64), np.asarray(stops, np.int64)))
+                if len(parts) == MERGE_LISTS:
+                    parts = [merge(parts)]
         if key is not None:
-            done.append(emit(key, tree))
+            done.append((key, *merge(parts)))
         if done:
-            yield pd.concat(done, ignore_index=True)
+            yield emit(done)
 
     return run
 
@@ -153,10 +164,10 @@ def _tile(position: str) -> Column:
     return F.expr(f"(({position}) - pmod({position}, width)) div width")
 
 
-def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile_bp: int = TILE_BP) -> DataFrame:
+def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end", tile_bp: int = TILE_BP, reach: int = 1) -> DataFrame:
     """(keys, kind, seg_start, seg_end): the continuous periods of each key and the gaps between neighbouring ones.
 
-    Two intervals belong to one period when the next starts at most 1 after the largest end so far. A gap runs from the
+    Two intervals belong to one period when the next starts at most `reach` after the largest end so far. A gap runs from the
     end of a period to the start of the next. Rows with a null key, a null, reversed or empty interval, or a position of
     2^61 or more give nothing; repeated rows change nothing; extra columns are ignored. Keys are bigint or string columns. Tiles widen
     where the longest interval would otherwise be cut into more than about 64 pieces.
@@ -169,7 +180,7 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start"
     clean = clean.where((F.col("start") < F.col("end")) & (F.col("start") > -limit) & (F.col("end") < limit))
     longest = clean.select(F.coalesce(F.max(F.col("end") - F.col("start")), F.lit(0)).alias("longest")).scalar()
     width = F.greatest(F.lit(tile_bp).cast("bigint"), F.floor(longest / 64).cast("bigint"))
-    stop = F.col("end") + 1
+    stop = F.col("end") + reach
     tiled = (
         clean.select(*keys, "start", stop.alias("stop"), width.alias("width"))
         .select(
@@ -186,13 +197,13 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start"
     partial = tiled.mapInPandas(_fold(keys), f"{key_ddl}, tile bigint, starts array<bigint>, stops array<bigint>")
     placed = partial.repartition(*keys, "tile").sortWithinPartitions(*keys, "tile")
     merged = placed.mapInPandas(
-        _combine(keys),
+        _combine(keys, reach),
         f"{key_ddl}, tile bigint, kind string, seg_start bigint, seg_end bigint, first_start bigint, first_stop bigint, last_start bigint, last_stop bigint, n bigint",
     )
-    return _stitch(merged, keys)
+    return _stitch(merged, keys, reach)
 
 
-def _stitch(merged: DataFrame, keys: list[str]) -> DataFrame:
+def _stitch(merged: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Joins up the edge rows along each key. Finished rows share no window: their spread key keeps them apart."""
     edge = F.col("kind") == "edge"
     spread = F.when(edge, F.lit(-1)).otherwise(F.abs(F.hash("seg_start", "tile")) % 1024)
@@ -212,9 +223,9 @@ def _stitch(merged: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(condition, F.struct(F.lit(kind).alias("kind"), low.alias("seg_start"), high.alias("seg_end")))
 
     edges = F.array(
-        segment("period", F.col("n") > 1, begun, F.col("first_stop") - 1),
-        segment("period", ~goes_on, F.when(F.col("n") == 1, begun).otherwise(F.col("last_start")), F.col("last_stop") - 1),
-        segment("gap", F.col("lag_stop").isNotNull() & ~F.col("joined"), F.col("lag_stop") - 1, F.col("first_start")),
+        segment("period", F.col("n") > 1, begun, F.col("first_stop") - reach),
+        segment("period", ~goes_on, F.when(F.col("n") == 1, begun).otherwise(F.col("last_start")), F.col("last_stop") - reach),
+        segment("gap", F.col("lag_stop").isNotNull() & ~F.col("joined"), F.col("lag_stop") - reach, F.col("first_start")),
     )
     finished = F.array(F.struct("kind", "seg_start", "seg_end"))
     return (
@@ -223,6 +234,26 @@ def _stitch(merged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def assign_periods(rows: DataFrame, periods: DataFrame, keys: list[str], position: str, tile_bp: int = TILE_BP) -> DataFrame:
+    """rows with period_start, period_end of the period of their key that holds `position`; rows outside all are dropped.
+
+    periods: keys, seg_start, seg_end, disjoint in a key. Each period leaves a mark in every tile it reaches, and a row
+    takes the last mark before it in its tile, so a hot key's rows are spread over its tiles.
+    """
+    longest = periods.select(F.coalesce(F.max(F.col("seg_end") - F.col("seg_start")), F.lit(0)).alias("longest")).scalar()
+    width = F.greatest(F.lit(tile_bp).cast("bigint"), F.floor(longest / 64).cast("bigint")).alias("width")
+    marks = periods.select(*keys, "seg_start", "seg_end", width).select(*keys, "seg_start", "seg_end", "width", F.explode(F.sequence(_tile("seg_start"), _tile("seg_end"))).alias("_tile"))
+    marks = marks.select(
+        *keys, "_tile", F.greatest(F.col("seg_start"), F.col("_tile") * F.col("width")).alias("_at"), F.lit(0).alias("_is_row"),
+        F.struct(F.col("seg_start").alias("period_start"), F.col("seg_end").alias("period_end")).alias("_mark"), F.lit(None).cast(rows.schema).alias("_row"),
+    )
+    placed = rows.select(*keys, F.col(position).cast("bigint").alias("_position"), F.struct(*rows.columns).alias("_row"), width)
+    placed = placed.select(*keys, _tile("_position").alias("_tile"), F.col("_position").alias("_at"), F.lit(1).alias("_is_row"), F.lit(None).cast("struct<period_start:bigint,period_end:bigint>").alias("_mark"), "_row")
+    along = Window.partitionBy(*keys, "_tile").orderBy("_at", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(placed).withColumn("_mark", F.last("_mark", ignorenulls=True).over(along))
+    return both.where((F.col("_is_row") == 1) & (F.col("_at") <= F.col("_mark.period_end"))).select("_row.*", "_mark.period_start", "_mark.period_end")
+
+
 def restored_intervals(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, q_name, start, end) of overlap rows, with the chunk's offset added; unusable rows are left out.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.operators.islands import number_islands
+from phylospan.operators.periods import assign_periods, periods_and_gaps
+from phylospan.session import materialise
 
 META = ["t_name", "t_size", "t_start", "t_end", "pct_identity", "t_species", "divergence_time", "ani_lt_95", "ref_divergence", "ref_ani_lt_95"]
 
@@ -32,16 +34,26 @@ def cluster_gap(regions: DataFrame, keys: list[str], gap) -> DataFrame:
     return joined
 
 
-def process(rows: DataFrame, keys: list[str], least, gap, order: list[str] | None = None) -> DataFrame:
-    """rows (with keys, q_start, q_end; least and gap may be columns constant in a key) with region_start, region_end of
-    the final region they belong to: merge, then size filter, then clustering, in this order. Rows of small regions go."""
-    merged = compress(rows, keys, order=order)
-    extra = [c for c in (least, gap) if isinstance(c, str)]
-    bounds = merged.groupBy(*keys, "region").agg(F.min("q_start").alias("region_start"), F.max("q_end").alias("region_end"), *(F.first(c).alias(c) for c in extra))
-    kept = cluster_gap(size_filter(bounds, least), keys, gap)
-    final = kept.select(*keys, "region", "cluster")
-    spans = kept.groupBy(*keys, "cluster").agg(F.min("region_start").alias("region_start"), F.max("region_end").alias("region_end"))
-    return merged.join(final, [*keys, "region"]).join(spans, [*keys, "cluster"]).drop("region").withColumnRenamed("cluster", "region")
+def process(rows: DataFrame, keys: list[str], least, gap) -> DataFrame:
+    """rows with region, region_start, region_end of the final region they belong to: merge, then size filter, then
+    clustering, in this order. Rows of small regions go.
+
+    least and gap are numbers, or columns of rows that are constant in a key. A region's number is its start. Merging and
+    assignment work on tiles of the position axis, so no key has to fit one task.
+    """
+    column = lambda x, name: (F.col(x) if isinstance(x, str) else F.lit(x)).cast("bigint").alias(name)
+    settings = ["_least", "_gap"]
+    bounds = rows.select(*keys, "q_start", "q_end", column(least, "_least"), column(gap, "_gap"))
+    merged = periods_and_gaps(bounds, [*keys, *settings], "q_start", "q_end").where("kind = 'period'")
+    # Written once: the clustering and both assignments read the kept regions, which are few beside the rows.
+    kept = materialise(merged.where("seg_end - seg_start >= _least").drop("kind"))
+    # Clustering joins kept regions whose gap is at most _gap: ends are moved out by it, and back again afterwards.
+    wide = kept.where("_gap > 0").select(*keys, *settings, "seg_start", (F.col("seg_end") + F.col("_gap")).alias("reach_end"))
+    joined = periods_and_gaps(wide, [*keys, *settings], "seg_start", "reach_end", reach=0).where("kind = 'period'")
+    joined = joined.select(*keys, "seg_start", (F.col("seg_end") - F.col("_gap")).alias("seg_end"))
+    final = materialise(joined.unionByName(kept.where("_gap <= 0").select(*keys, "seg_start", "seg_end")))
+    inside = assign_periods(rows, kept.select(*keys, "seg_start", "seg_end"), keys, "q_start").drop("period_start", "period_end")
+    return assign_periods(inside, final, keys, "q_start").withColumns({"region": F.col("period_start")}).withColumnsRenamed({"period_start": "region_start", "period_end": "region_end"})
 
 
 def summarise(members: DataFrame, index: DataFrame, keys: list[str], order: list[str], least_species: int = 2) -> DataFrame:

@@ -99,7 +99,7 @@ def q19_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.process(overlaps(spark, sf_dir), KEYS, "least", "gap", ORDER)
+    return regions.process(overlaps(spark, sf_dir), KEYS, "least", "gap")
 
 
 def q20_region_process(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "run_log").select("run_id", "chunk_bp", F.coalesce("size_filter", F.lit(150)).alias("least"), F.coalesce("cluster_size", F.lit(0)).alias("gap"))
     placed = chunks.restore_offsets(pairs.join(runs, "run_id"), "chunk_bp").withColumnRenamed("divergence", "divergence_time")
     order = ["q_start", "q_end", "t_name", "t_start", "t_end"]
-    members = regions.process(placed, KEYS, "least", "gap", order)
+    members = regions.process(placed, KEYS, "least", "gap")
     return regions.summarise(members, table(spark, sf_dir, "ref_index"), KEYS, order).drop("region", "q_size", "q_species", "mean_divergence")
 
 

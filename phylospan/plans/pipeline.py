@@ -67,7 +67,7 @@ def refilter(pairs: DataFrame, settings: DataFrame, index: DataFrame) -> dict[st
     """regions and summary of overlap pairs with local coordinates; settings: run_id, chunk_bp, least, gap."""
     keys, order = ["run_id", "q_name"], ["q_start", "q_end", "t_name", "t_start", "t_end"]
     placed = chunks.restore_offsets(pairs.join(settings.select("run_id", "chunk_bp", "least", "gap"), "run_id"), "chunk_bp").withColumnRenamed("divergence", "divergence_time")
-    members = regions.process(placed.where("q_start is not null and q_start < q_end"), keys, "least", "gap", order)
+    members = regions.process(placed.where("q_start is not null and q_start < q_end"), keys, "least", "gap")
     summary = regions.summarise(members, index, keys, order)
     kept = members.join(summary.select(*keys, "region"), [*keys, "region"], "left_semi")
     return {"regions": regions.joined_members(kept, keys, order), "summary": summary}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "16g
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a context, for clusters where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_phylospan_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="phylospan-package-")
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, "phylospan.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for at, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(at, name)
+                file.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._phylospan_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
     context = spark.sparkContext
