@@ -26,6 +26,8 @@ TERM_WORDS = 3
 MIN_WORDS = 15
 BLOCK_ITEMS = 20_000
 NEAR_WORDS = 8
+#: At most one word in so many of a passage may be changed, added or dropped. Several neighbouring words count one more.
+WORDS_PER_CHANGE = 7
 #: Of two neighbouring terms of an item the rarer one is looked up. Even with two changed words, fifteen words then hold
 #: two of these, five or more words apart, at offsets that differ by no more than the words added or dropped.
 RAREST_OF, SPREAD, DRIFT = 2, 5, 2
@@ -124,10 +126,11 @@ def _leaks(runs: pd.Series) -> pd.Series:
             for doc_end, item_end, item_start, before, _ in ends:
                 in_doc, in_item = first - doc_end - 1, first - offset - item_end - 1
                 if -3 <= min(in_doc, in_item) and max(in_doc, in_item) <= 5 and abs(in_doc - in_item) <= 2 and last > doc_end and last - offset > item_end:
-                    options.append((last, last - offset, item_start, before + lost + max(in_doc, in_item, abs(in_doc - in_item), 1), offset))
-            if any(e - s + 1 >= MIN_WORDS and n * 5 <= e - s + 1 for _, e, s, n, _ in options):
+                    between = max(in_doc, in_item, abs(in_doc - in_item), 1)
+                    options.append((last, last - offset, item_start, before + lost + between + (between > 1), offset))
+            if any(e - s + 1 >= MIN_WORDS and n * WORDS_PER_CHANGE <= e - s + 1 for _, e, s, n, _ in options):
                 return True
-            ends += sorted(options, key=lambda o: (o[3] * 5 - (o[1] - o[2])))[:3]
+            ends += sorted(options, key=lambda o: (o[3] * WORDS_PER_CHANGE - (o[1] - o[2])))[:3]
         return False
 
     return runs.map(judge)
@@ -173,7 +176,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_
     """(doc_id, item_id): the documents that hold a passage of at least 15 words of an item, in order and together.
 
     Case, accents, punctuation, markup, line ends, entities and invisible characters don't matter; hidden comments are
-    text. Of a passage, one word in five may be changed, added or dropped. Null and empty texts hold nothing; items under
+    text. Of a passage, one word in seven may be changed, added or dropped. Null and empty texts hold nothing; items under
     15 words can't leak; rows with the same id count as one document. The items are the query set: they are taken in
     blocks of `block_items`, each block's terms being broadcast; every block is held against all documents.
     """
