@@ -35,7 +35,7 @@ _DOT = r"(?:\.| ?[(\[{]dot[)\]}] ?| ?[(\[]punto[)\]] ?| dot )"
 _AT_HINT = re.compile(r"&#64;|[(\[{](?:at|arroba)[)\]}]| dot ", re.I)
 EMAIL = re.compile(rf"(?<![\w.+\-])[\w](?:[\w.+\-]*\w)?{_AT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+", re.I)
 
-_GROUP = r"(?:[A-Z]{0,2}\d[0-9A-Z]*|[A-Z](?![a-z0-9]))(?![a-z])"
+_GROUP = r"(?:[A-Z]{0,2}\d[0-9A-Z]*|[A-Z](?![\w'’]))(?![a-z])"
 NUMBER = re.compile(rf"(?<![\w.,/:\-])(?:\+ ?|\(\+?(?=\d))?(?:[A-Z]{{2}} (?=\d))?{_GROUP}(?:(?:\) ?|[ \-./]\(?|/\(?){_GROUP})*")
 EXTENSION = re.compile(r",? ?(?:ext\.?|x|extension|poste|Durchwahl|DW|App\.|Nebenstelle|int\.|extensión|ext\.:) ?\d{1,5}(?!\w)", re.I)
 
@@ -125,8 +125,8 @@ def candidates(text: str) -> list[Span]:
 
 
 def _named_context(text: str, start: int) -> bool:
-    before = text[max(0, start - 14) : start].rstrip("'[ ").lower()
-    return bool(re.search(r"(?:dr\.|mr\.|mrs\.|ms\.|frau|herr|mme|sra\.|sr\.|by|par|por|von|author =|auteur =|autor =|according to|laut|selon|según|knows)$", before))
+    before = text[max(0, start - 14) : start].rstrip("'[ ")
+    return bool(re.search(r"\b(?:[DMS]r\.|Mrs\.|Ms\.|Frau|Herr|Mme|Sra\.|by|par|por|author =|auteur =|[Aa]utor =|[Aa]ccording to|[Ll]aut|[Ss]elon|[Ss]egún|knows)$", before))
 
 
 _KINDS = {"e": ("email",), "n": ("name",), "a": ("address",), "pi": ("phone", "id_number")}

@@ -26,6 +26,15 @@ call PHONE and ask for the owner
 Tel: PHONE
 Tel.: PHONE
 Tél. : PHONE La mairie est fermée.
+Tel: PHONE A mill was sold.
+Tel: PHONE A quiet day came.
+Tél. : PHONE À midi, le pont ferma.
+call PHONE A mill was sold.
+Tél. : PHONE D'abord, le pont ferma.
+Passeport n° IDNO D'abord, le pont ferma.
+Identity card no. IDNO A mill was sold.
+Pasaporte n.º IDNO Más tarde, el puente cerró.
+Passeport n° IDNO Tél. : PHONE
 | phone = PHONE
 | Telefon = PHONE
 | tél = PHONE
