@@ -59,6 +59,19 @@ def diagonal_islands(hits: DataFrame, k: int, gap: int) -> DataFrame:
     return numbered.groupBy("q_id", "t_id", "diagonal", "island").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), F.count(F.lit(1)).alias("n_seeds")).drop("island")
 
 
+def score_islands(islands: DataFrame, queries: DataFrame, references: DataFrame, q: tuple[str, str], t: tuple[str, str]) -> DataFrame:
+    """Ungapped hits: islands with t_start, t_end, n_match and n_mismatch, letter by letter along the diagonal.
+
+    q and t name the id and text columns of queries and references.
+    """
+    length = F.col("q_end") - F.col("q_start")
+    placed = islands.withColumns({"t_start": F.col("q_start") - F.col("diagonal"), "t_end": F.col("q_end") - F.col("diagonal")})
+    both = placed.join(queries.select(F.col(q[0]).alias("q_id"), F.col(q[1]).alias("_q")), "q_id").join(references.select(F.col(t[0]).alias("t_id"), F.col(t[1]).alias("_t")), "t_id")
+    letters = lambda text, at: F.split(F.substring(F.col(text), F.col(at) + 1, length), "")
+    same = F.size(F.filter(F.zip_with(letters("_q", "q_start"), letters("_t", "t_start"), lambda a, b: a == b), lambda x: x))
+    return both.withColumn("n_match", same).withColumn("n_mismatch", length - F.col("n_match")).drop("_q", "_t")
+
+
 def sketches(table: DataFrame, size: int) -> DataFrame:
     """(seq_id, h): the `size` smallest distinct seed hashes of each sequence. The hash is of the seed alone."""
     hashed = table.select("seq_id", F.xxhash64("seed").alias("h")).distinct()

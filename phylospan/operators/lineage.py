@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import NULL_WORDS
+from phylospan.session import materialise
 
 UNKNOWN_LEAF = "NA"
 NOT_IN_TREE = "unk:unable_to_find_ref_species_in_tree"
@@ -18,7 +19,8 @@ UNCLASSIFIED_SPECIES = "unk:unclassified_species"
 def ancestor_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(name, path): each node's names and root distances from itself up to the root.
 
-    Paths double in length with every join (pointer jumping), so a tree of depth d takes log2(d) joins and no driver loop.
+    Paths double in length with every join (pointer jumping), so a tree of depth d takes log2(d) joins; every second
+    step is written to the shared folder, so that the plan doesn't double as well.
     """
     paths = nodes.select(
         "name", F.col("parent").alias("next"), F.array(F.struct(F.col("name").alias("name"), F.col("dist_root").alias("dist"))).alias("path")
@@ -30,6 +32,8 @@ def ancestor_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
             "name", F.col("after").alias("next"), F.when(F.col("further").isNull(), F.col("path")).otherwise(F.concat("path", "further")).alias("path")
         )
         reach *= 2
+        if reach in (4, 16, 64, 256) and reach < max_depth:
+            paths = materialise(paths)  # each doubling reads the plan twice
     return paths.select("name", "path")
 
 

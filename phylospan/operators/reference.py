@@ -59,3 +59,19 @@ def in_pairs(rows: DataFrame, pairs: DataFrame, on: dict[str, str], flag: str) -
 
 def is_unclassified(label: Column) -> Column:
     return F.coalesce(label.isin("unclassified", UNKNOWN_LEAF), F.lit(True))
+
+
+def query_species(queries: DataFrame, listed: DataFrame | None = None, detected: DataFrame | None = None, single: str | None = None) -> DataFrame:
+    """queries (seq_id) with q_species: the one given name, else the listed one, else the detected one, else unclassified.
+
+    listed and detected: (seq_id, species), one row an id. Words that mean no label count as none.
+    """
+    if single:
+        return queries.withColumn("q_species", F.lit(single))
+    out = queries
+    choices = []
+    for k, table in enumerate(t for t in (listed, detected) if t is not None):
+        label = normalise_label(F.col("species"))
+        out = out.join(table.select("seq_id", F.when(label != "unclassified", label).alias(f"_species_{k}")), "seq_id", "left")
+        choices.append(f"_species_{k}")
+    return out.withColumn("q_species", F.coalesce(*choices, F.lit("unclassified"))).drop(*choices)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phylospan.functions.text import clean_id
 from phylospan.operators import chunks, divergence, islands, kmers, lineage, next_fit, pairing, reference, regions
 from phylospan.plans.stages import stage
+from phylospan.session import materialise
 
 GROUP = ["run_id", "chunk_idx", "q_name"]
 TIE = ["emit_key", "t_name", "t_start", "t_end", "t_size", "q_size", "q_species", "t_species", "divergence"]
@@ -24,13 +25,13 @@ class Reference:
     close_pairs: DataFrame
 
 
-def judge_candidates(numbered: DataFrame, ref: Reference, keys: list[str], max_depth: int = 64) -> DataFrame:
+def judge_candidates(numbered: DataFrame, ref: Reference, paths: DataFrame, keys: list[str]) -> DataFrame:
     """Candidate pairs of numbered hits with divergence, ref_ani_lt_95 and accepted."""
     named = reference.with_reference(numbered, ref.index)
     wanted = {"q_start": "q_start", "q_end": "q_end", "t_species": "t_species", "t_name": "t_name", "ref_length": "ref_length", "ref_leaf": "leaf"}
     side = lambda p, k: named.select(*keys, F.col("i").alias(k), *(F.col(c).alias(f"{p}_{a}") for c, a in wanted.items()))
     pairs = pairing.candidate_pairs(numbered, keys).join(side("l", "i"), [*keys, "i"]).join(side("r", "j"), [*keys, "j"])
-    known = lineage.pair_divergence(pairs, lineage.ancestor_paths(ref.nodes, max_depth), "l_leaf", "r_leaf")
+    known = lineage.pair_divergence(pairs, paths, "l_leaf", "r_leaf")
     close = reference.lookup_pair(known, ref.close_pairs, "l_t_name", "r_t_name").withColumn("in_close", F.col("ani").isNotNull())
     return pairing.judge_pair(close)
 
@@ -47,13 +48,14 @@ def run_query(spark: SparkSession, folder: str, hits: DataFrame, runs: DataFrame
     def first_div() -> DataFrame:
         usable = hits.withColumn("q_name", clean_id(F.col("q_name"))).where("q_name is not null and q_start < q_end").join(settings.select("run_id", "min_identity"), "run_id")
         leaves = lineage.resolve_names(usable.select("q_species"), ref.nodes, "q_species")
-        return divergence.filter_hits(usable, ref.index, leaves, lineage.ancestor_paths(ref.nodes, max_depth), close_refs, "min_identity")
+        return divergence.filter_hits(usable, ref.index, leaves, paths, close_refs, "min_identity")
 
+    paths = materialise(lineage.ancestor_paths(ref.nodes, max_depth))
     filtered = keep("first_div", first_div)
     carried = ["q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end", "pct_identity", "q_species", "t_species", "divergence", "ani_lt_95"]
     labelled = filtered.withColumn("t_species", F.col("ref_species"))
     numbered = keep("islands", lambda: pairing.number_hits(islands.merge_islands(labelled, GROUP, carried), GROUP, TIE))
-    judged = keep("judged", lambda: judge_candidates(numbered, ref, GROUP, max_depth).where("accepted").select(*GROUP, "stretch", "i", "j", "overlap", F.col("divergence").alias("ref_divergence"), "ref_ani_lt_95"))
+    judged = keep("judged", lambda: judge_candidates(numbered, ref, paths, GROUP).where("accepted").select(*GROUP, "stretch", "i", "j", "overlap", F.col("divergence").alias("ref_divergence"), "ref_ani_lt_95"))
 
     def pairs() -> DataFrame:
         matched = pairing.greedy_match(judged, GROUP).join(judged.select(*GROUP, "i", "j", "ref_divergence", "ref_ani_lt_95"), [*GROUP, "i", "j"])
@@ -88,3 +90,9 @@ def build_database(sequences: DataFrame, species: DataFrame, nodes: DataFrame, m
         "files": next_fit.next_fit(grouped).drop("build_id"), "index": reference.build_index(lengths.select("seq_id", "seq_length"), species, nodes),
         "heavy_seeds": heavy, "sketches": sketch, "close_pairs": reference.closest_pairs(edges),
     }
+
+
+def is_complete_split(files: DataFrame, sequences: DataFrame) -> bool:
+    """Whether every sequence, and at least one, is in a file."""
+    placed, there = files.count(), sequences.where("length(seq) > 0").count()
+    return placed == there and there > 0

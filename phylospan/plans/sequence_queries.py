@@ -66,6 +66,13 @@ def q28_seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.diagonal_islands(_item_hits(spark, sf_dir), SEED, 8).where("n_seeds >= 16")
 
 
+def q46_scored_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ungapped hits of items in documents, with their matching letters."""
+    islands_ = q28_seed_islands(spark, sf_dir)
+    scored = kmers.score_islands(islands_, _documents(spark, sf_dir), table(spark, sf_dir, "eval_items"), ("doc_id", "text"), ("item_id", "text"))
+    return scored.select("q_id", "t_id", "q_start", "q_end", "t_start", "t_end", "n_match", "n_mismatch")
+
+
 def q30_containment_ani(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items against documents with whole sketches (all hashes), which are exact k-mer sets."""
     whole = 1 << 30
@@ -190,6 +197,14 @@ d AS (SELECT DISTINCT q_id, t_id, q_pos - t_pos AS diagonal, q_pos AS s, q_pos +
 r AS (SELECT *, max(e) OVER (PARTITION BY q_id, t_id, diagonal ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d),
 i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id, t_id, diagonal ORDER BY s) AS k FROM r)
 SELECT q_id, t_id, diagonal::int AS diagonal, min(s)::int AS q_start, max(e)::int AS q_end, count(*) AS n_seeds FROM i GROUP BY q_id, t_id, diagonal, k HAVING count(*) >= 16""",
+    "q46_scored_islands": f"""WITH {_ITEM_HITS},
+d AS (SELECT DISTINCT q_id, t_id, q_pos - t_pos AS diagonal, q_pos AS s, q_pos + {SEED} AS e FROM h),
+r AS (SELECT *, max(e) OVER (PARTITION BY q_id, t_id, diagonal ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d),
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 8 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id, t_id, diagonal ORDER BY s) AS k FROM r),
+j AS (SELECT q_id, t_id, diagonal, min(s) AS s, max(e) AS e FROM i GROUP BY q_id, t_id, diagonal, k HAVING count(*) >= 16),
+x AS (SELECT j.*, substring(a.text, s::int + 1, (e - s)::int) AS qt, substring(b.text, (s - diagonal)::int + 1, (e - s)::int) AS tt FROM j JOIN documents a ON a.doc_id = q_id JOIN eval_items b ON b.item_id = t_id),
+m AS (SELECT *, len([1 FOR p IN range(1, length(qt) + 1) IF substring(qt, p::int, 1) = substring(tt, p::int, 1)]) AS n FROM x)
+SELECT q_id, t_id, s::int AS q_start, e::int AS q_end, (s - diagonal)::int AS t_start, (e - diagonal)::int AS t_end, n::int AS n_match, (e - s - n)::int AS n_mismatch FROM m""",
     "q29_tolerant_lines": f"""WITH {_TOLERANT} SELECT line_id, try_cast(nullif(regexp_extract(file_name, '^[^_]*_([0-9]+)', 1), '') AS int) AS chunk_idx, {_int('f[1]', 'int')} AS n_match, f[9] AS strand,
   f[10] AS q_name, {_int('f[12]')} AS q_start, {_int('f[13]')} AS q_end, f[14] AS t_name, {_int('f[18]', 'int')} AS block_count FROM ok""",
     "q30_containment_ani": f"""

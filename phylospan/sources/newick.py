@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospan.session import materialise
+
 _TOKENS = r"'(?:[^']|'')*'(?::[0-9.eE+\-]+)?|[(),;]|[^(),;\s]+"
 
 
@@ -42,10 +44,12 @@ def newick_edges(trees: DataFrame, text: str = "line") -> DataFrame:
 
 def newick_nodes(trees: DataFrame, text: str = "line", max_depth: int = 64) -> DataFrame:
     """(name, parent, dist_root, order): the tree's nodes with their distance from the root (pointer jumping)."""
-    nodes = newick_edges(trees, text).select("name", "parent", F.col("branch").alias("dist_root"), F.col("parent").alias("next"), F.col("pos").alias("order"))
+    nodes = materialise(newick_edges(trees, text)).select("name", "parent", F.col("branch").alias("dist_root"), F.col("parent").alias("next"), F.col("pos").alias("order"))
     reach = 1
     while reach < max_depth:
         further = nodes.select(F.col("name").alias("next"), F.col("dist_root").alias("more"), F.col("next").alias("after"))
         nodes = nodes.join(further, "next", "left").select("name", "parent", (F.col("dist_root") + F.coalesce("more", F.lit(0.0))).alias("dist_root"), F.col("after").alias("next"), "order")
         reach *= 2
-    return nodes.select("name", "parent", "dist_root", "order")
+        if reach in (4, 16, 64, 256) and reach < max_depth:
+            nodes = materialise(nodes)  # each doubling reads the plan twice
+    return materialise(nodes.select("name", "parent", "dist_root", "order"))

@@ -140,6 +140,22 @@ def test_sketch_similarity(spark):
     assert [(r.q_id, r.t_id, r.containment) for r in got] == [("a", "b", 1.0)]
 
 
+def test_score_islands(spark):
+    q = spark.createDataFrame([(1, "xxACGTACGTAA")], "id bigint, s string")
+    t = spark.createDataFrame([(2, "ACGAACGTAA")], "id bigint, s string")
+    island = spark.createDataFrame([(1, 2, 2, 2, 12, 3)], "q_id bigint, t_id bigint, diagonal int, q_start int, q_end int, n_seeds bigint")
+    (row,) = kmers.score_islands(island, q, t, ("id", "s"), ("id", "s")).collect()
+    assert (row.t_start, row.t_end, row.n_match, row.n_mismatch) == (0, 10, 9, 1)
+
+
+def test_query_species(spark):
+    queries = spark.createDataFrame([("a",), ("b",), ("c",)], "seq_id string")
+    listed = spark.createDataFrame([("a", "A x"), ("b", "NA")], "seq_id string, species string")
+    detected = spark.createDataFrame([("a", "Z z"), ("b", "B y")], "seq_id string, species string")
+    got = lambda *a, **k: {r.seq_id: r.q_species for r in reference.query_species(queries, *a, **k).collect()}
+    assert got(listed, detected) == {"a": "A x", "b": "B y", "c": U} and got() == dict.fromkeys("abc", U) and got(single="S s")["c"] == "S s"
+
+
 def test_missing_references(spark):
     hits = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "t_name string")
     index = spark.createDataFrame([("y", "S", 5, "L")], "seq_id string, species string, seq_length bigint, leaf_name string")
