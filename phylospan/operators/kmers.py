@@ -13,6 +13,8 @@ from phylospan.operators.islands import number_islands
 
 
 WINDOW = 64
+#: Seeds of the smaller side that are broadcast at once.
+BLOCK_SEEDS = 1_000_000
 
 
 def seeds(sequences: DataFrame, k: int, seq_id: str, seq: str, step: int = 1) -> DataFrame:
@@ -52,6 +54,23 @@ def seed_hits(queries: DataFrame, references: DataFrame, heavy: DataFrame | None
     return q.join(t, "seed").select("q_id", "t_id", "q_pos", "t_pos")
 
 
+def every_seed_hit(queries: DataFrame, references: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """(q_id, t_id, q_pos, t_pos) of all equal seeds in two seed tables, however often a seed occurs.
+
+    The references are the smaller side: their seeds are broadcast in blocks, each block against all queries. The queries'
+    seeds are not shuffled, so a frequent one is no burden to a single task.
+    """
+    q = queries.select(F.col("seq_id").alias("q_id"), F.col("pos").alias("q_pos"), "seed")
+    t = references.select(F.col("seq_id").alias("t_id"), F.col("pos").alias("t_pos"), "seed")
+    blocks = max(1, -(-t.count() // block_seeds))
+    found = None
+    for b in range(blocks):
+        part = t.where(F.pmod(F.xxhash64("t_id", "t_pos"), F.lit(blocks)) == b) if blocks > 1 else t
+        one = q.join(F.broadcast(part), "seed").select("q_id", "t_id", "q_pos", "t_pos")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def diagonal_islands(hits: DataFrame, k: int, gap: int) -> DataFrame:
     """(q_id, t_id, diagonal, q_start, q_end, n_seeds): seeds on one diagonal at most `gap` apart."""
     placed = hits.select("q_id", "t_id", (F.col("q_pos") - F.col("t_pos")).alias("diagonal"), F.col("q_pos").alias("q_start"), (F.col("q_pos") + k).alias("q_end")).distinct()

@@ -66,13 +66,35 @@ def q28_seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.diagonal_islands(_item_hits(spark, sf_dir), SEED, 8).where("n_seeds >= 16")
 
 
-def q46_scored_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ungapped hits of items in documents, with their matching letters."""
-    islands_ = q28_seed_islands(spark, sf_dir)
+def _scored(spark: SparkSession, sf_dir: str, islands_: DataFrame) -> DataFrame:
     scored = kmers.score_islands(islands_, _documents(spark, sf_dir), table(spark, sf_dir, "eval_items"), ("doc_id", "text"), ("item_id", "text"))
     return scored.select("q_id", "t_id", "q_start", "q_end", "t_start", "t_end", "n_match", "n_mismatch")
 
 
+def q46_scored_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ungapped hits of items in documents, with their matching letters."""
+    return _scored(spark, sf_dir, q28_seed_islands(spark, sf_dir))
+
+
+def _all_item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.every_seed_hit(_seeds(spark, sf_dir, SEED), _item_seeds(spark, sf_dir, SEED))
+
+
+def q47_all_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q27 with every seed, the over-represented ones too."""
+    return _all_item_hits(spark, sf_dir).groupBy("q_id", "t_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("q_pos").alias("first_pos"))
+
+
+def q48_all_seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q28 with every seed."""
+    return kmers.diagonal_islands(_all_item_hits(spark, sf_dir), SEED, 8).where("n_seeds >= 16")
+
+
+def q49_all_scored_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q46 with every seed."""
+    return _scored(spark, sf_dir, q48_all_seed_islands(spark, sf_dir))
+
+
 def q30_containment_ani(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items against documents with whole sketches (all hashes), which are exact k-mer sets."""
     whole = 1 << 30
@@ -175,6 +197,11 @@ doc AS (SELECT * FROM ({_seed_sql('documents', 'doc_id', SEED)}) WHERE seed IN (
 heavy AS (SELECT seed FROM doc GROUP BY 1 HAVING count(*) > {HEAVY}),
 h AS (SELECT doc.seq_id AS q_id, it.seq_id AS t_id, doc.pos AS q_pos, it.pos AS t_pos FROM doc JOIN it ON doc.seed = it.seed WHERE doc.seed NOT IN (SELECT seed FROM heavy))"""
 
+_ALL_ITEM_HITS = f"""
+it AS ({_seed_sql('eval_items', 'item_id', SEED)}),
+doc AS ({_seed_sql('documents', 'doc_id', SEED)}),
+h AS (SELECT doc.seq_id AS q_id, it.seq_id AS t_id, doc.pos AS q_pos, it.pos AS t_pos FROM doc JOIN it ON doc.seed = it.seed)"""
+
 _TOLERANT = r"""
 t AS (SELECT line_id, file_name, string_split(regexp_replace(raw_line, '^\s+|\s+\z', '', 'g'), chr(9)) AS f FROM raw_psl_lines WHERE NOT starts_with(raw_line, '#')),
 ok AS (SELECT * FROM t WHERE len(f) = 21 AND f[1] <> 'match')"""
@@ -260,4 +287,9 @@ i AS (SELECT *, sum(CASE WHEN b IS NULL OR q_start > b + 1 THEN 1 ELSE 0 END) OV
 SELECT run_id, chunk_idx, q_name, min(q_start) AS region_start, max(q_end) AS region_end, count(*) AS n_rows FROM i GROUP BY run_id, chunk_idx, q_name, k""",
 }
 
+SQL |= {
+    new: SQL[old].replace(_ITEM_HITS, _ALL_ITEM_HITS)
+    for old, new in (("q27_seed_join", "q47_all_seed_join"), ("q28_seed_islands", "q48_all_seed_islands"), ("q46_scored_islands", "q49_all_scored_islands"))
+}
+
 QUERIES: dict[str, Query] = {name: globals()[name] for name in SQL}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phylospan.operators import chunks, divergence, islands, kmers, lineage, next_fit, pairing, reference, regions
+from phylospan.plans import sequence_queries
 
 HITS = "n_match bigint, q_start bigint, q_end bigint, q_size bigint, q_name string, t_name string, ref_length bigint, divergence double, id int"
 
@@ -133,6 +134,19 @@ def test_seeds_match_plain_windows(spark):
         assert got == want
 
 
+def test_frequent_seeds_are_hits(spark, tmp_path):
+    """An item copied into 250 documents: every seed of it is over-represented."""
+    item = "".join(chr(97 + (k * k + k // 7) % 23) for k in range(60))
+    spark.createDataFrame([(k, f"{k:04d} {item} {k:04d}") for k in range(250)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "y" * 40)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = sequence_queries.q47_all_seed_join(spark, str(tmp_path)).collect()
+    assert {(r.q_id, r.t_id, r.n_hits, r.first_pos) for r in got} == {(k, 1, 29, 5) for k in range(250)}
+    scored = sequence_queries.q49_all_scored_islands(spark, str(tmp_path)).collect()
+    assert {(r.q_id, r.t_id, r.q_start, r.q_end, r.t_start, r.t_end, r.n_match, r.n_mismatch) for r in scored} == {(k, 1, 5, 65, 0, 60, 60, 0) for k in range(250)}
+    seeds = lambda name, key: kmers.seeds(spark.read.parquet(f"{tmp_path}/{name}.parquet"), 32, key, "text")
+    assert kmers.every_seed_hit(seeds("documents", "doc_id"), seeds("eval_items", "item_id"), block_seeds=10).count() == 250 * 29
+
+
 def test_sketch_similarity(spark):
     df = spark.createDataFrame([("a", "ACGTACGTTGCA"), ("b", "ACGTACGTTGCA"), ("c", "TTTTTTTTTTTT")], "seq_id string, seq string")
     sketch = kmers.sketches(kmers.seeds(df, 4, "seq_id", "seq"), 100)
