@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospan.operators.islands import number_islands
+from phylospan.session import materialise
 
 
 WINDOW = 64
@@ -98,6 +99,29 @@ def sketches(table: DataFrame, size: int) -> DataFrame:
     return hashed.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
+def scaled_sketches(hashed: DataFrame, scale: int, short: int) -> DataFrame:
+    """(seq_id, h) of distinct hashes: one in `scale` by the hash's value, and all of a sequence with fewer than `short`."""
+    small = hashed.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < short).select("seq_id")
+    sampled = F.pmod("h", F.lit(scale)) == 0
+    return hashed.join(small.withColumn("whole", F.lit(True)), "seq_id", "left").where(F.coalesce("whole", sampled)).select("seq_id", "h")
+
+
+def all_against_all(hashed: DataFrame, k: int, least: float, scale: int = 100, short: int = 20_000) -> DataFrame:
+    """(id1, id2, ani): both orders of the pairs of sequences with an estimated identity of at least `least`.
+
+    hashed: (seq_id, h), all distinct hashes. The sketch of one sequence is held against all hashes of the other, so the
+    shared part doesn't shrink with the other's length; the better order of a pair is that of the smaller sequence.
+    Sequences with the same hashes are held against the others once, and are pairs of identity 100 themselves.
+    """
+    marks = hashed.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("a"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("b"))
+    members = materialise(marks.select("seq_id", F.min("seq_id").over(Window.partitionBy("n", "a", "b")).alias("class")))
+    one = hashed.join(members.where(F.col("seq_id") == F.col("class")).select("seq_id"), "seq_id", "left_semi")
+    near = sketch_similarity(scaled_sketches(one, scale, short), one, k, least).where("q_id <> t_id").select("q_id", "t_id", "ani")
+    left, right = members.select(F.col("seq_id").alias("id1"), F.col("class").alias("q_id")), members.select(F.col("seq_id").alias("id2"), F.col("class").alias("t_id"))
+    same = left.join(right.withColumnRenamed("t_id", "q_id"), "q_id").where("id1 <> id2").select("id1", "id2", F.lit(100.0).alias("ani"))
+    return near.join(left, "q_id").join(right, "t_id").select("id1", "id2", "ani").unionByName(same)
+
+
 def sketch_similarity(queries: DataFrame, references: DataFrame, k: int, least: float) -> DataFrame:
     """(q_id, t_id, shared, containment, ani): pairs whose estimated identity, containment^(1/k) in percent, is at least `least`."""
     sizes = queries.groupBy("seq_id").agg(F.count(F.lit(1)).alias("size"))

@@ -75,20 +75,22 @@ def refilter(pairs: DataFrame, settings: DataFrame, index: DataFrame) -> dict[st
     return {"regions": regions.joined_members(kept, keys, order), "summary": summary}
 
 
-def build_database(sequences: DataFrame, species: DataFrame, nodes: DataFrame, max_bp: int, k: int = 21, sketch_size: int = 1000, repeats: int = 1024, least_ani: float = 90.0) -> dict[str, DataFrame]:
+def build_database(sequences: DataFrame, species: DataFrame, nodes: DataFrame, max_bp: int, k: int = 21, scale: int = 100, short: int = 20_000, repeats: int = 1024, least_ani: float = 90.0) -> dict[str, DataFrame]:
     """files, index, heavy_seeds, sketches, close_pairs of sequences (seq_id, record_no, seq).
 
     files: the next-fit grouping at max_bp. close_pairs: pairs of an estimated identity of 95 or more.
+    heavy_seeds are a list for aligners; sketches and close pairs are made of all seeds: one in `scale` of them, and all of
+    a sequence that has fewer than `short`.
     """
     lengths = sequences.select("seq_id", "record_no", F.length("seq").cast("bigint").alias("seq_length"))
     grouped = lengths.withColumns({"build_id": F.lit(1).cast("bigint"), "max_bp": F.lit(max_bp).cast("bigint")})
     table = kmers.seeds(sequences, k, "seq_id", "seq")
     heavy = kmers.heavy_seeds(table, repeats)
-    sketch = kmers.sketches(table.join(heavy.select("seed"), "seed", "left_anti"), sketch_size)
-    edges = kmers.sketch_similarity(sketch, sketch, k, least_ani).where("q_id <> t_id").select(F.col("q_id").alias("id1"), F.col("t_id").alias("id2"), "ani")
+    hashed = materialise(table.select("seq_id", F.xxhash64("seed").alias("h")).distinct())
+    edges = kmers.all_against_all(hashed, k, least_ani, scale, short)
     return {
         "files": next_fit.next_fit(grouped).drop("build_id"), "index": reference.build_index(lengths.select("seq_id", "seq_length"), species, nodes),
-        "heavy_seeds": heavy, "sketches": sketch, "close_pairs": reference.closest_pairs(edges),
+        "heavy_seeds": heavy, "sketches": kmers.scaled_sketches(hashed, scale, short), "close_pairs": reference.closest_pairs(edges),
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import clean_id
-from phylospan.operators import chunks, islands, kmers, next_fit, regions
+from phylospan.operators import chunks, islands, kmers, next_fit, reference, regions
 from phylospan.plans import views as v
 from phylospan.session import materialise, table
 from phylospan.sinks import tsv
@@ -103,6 +103,14 @@ def q30_containment_ani(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.sketch_similarity(items, documents, SEED, 95.0).select("q_id", "t_id", "shared", F.round("ani", 4).alias("ani"))
 
 
+def q50_close_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against documents with whole sketches: pairs of an identity of 95 or more, by the smaller one's seeds."""
+    whole = 1 << 30
+    hashed = materialise(_seeds(spark, sf_dir, SEED).select("seq_id", F.xxhash64("seed").alias("h")).distinct())
+    pairs = reference.closest_pairs(kmers.all_against_all(hashed, SEED, 95.0, short=whole))
+    return pairs.select(F.col("id_lo").alias("id1"), F.col("id_hi").alias("id2"), F.round("ani", 4).alias("ani"))
+
+
 def q31_kmer_vote_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document by votes of the items' seeds."""
     items = table(spark, sf_dir, "eval_items")
@@ -240,6 +248,12 @@ doc AS (SELECT DISTINCT seq_id, seed FROM ({_seed_sql('documents', 'doc_id', SEE
 size AS (SELECT seq_id, count(*) AS n FROM it GROUP BY 1),
 s AS (SELECT it.seq_id AS q_id, doc.seq_id AS t_id, count(*) AS shared FROM it JOIN doc ON it.seed = doc.seed GROUP BY 1, 2)
 SELECT q_id, t_id, shared, round(pow(shared::double / n, 1.0 / {SEED}) * 100, 4) AS ani FROM s JOIN size ON q_id = seq_id WHERE pow(shared::double / n, 1.0 / {SEED}) * 100 >= 95""",
+    "q50_close_documents": f"""
+WITH doc AS (SELECT DISTINCT seq_id, seed FROM ({_seed_sql('documents', 'doc_id', SEED)})),
+size AS (SELECT seq_id, count(*) AS n FROM doc GROUP BY 1),
+s AS (SELECT a.seq_id AS id1, b.seq_id AS id2, count(*) AS shared FROM doc a JOIN doc b ON a.seed = b.seed AND a.seq_id < b.seq_id GROUP BY 1, 2),
+i AS (SELECT id1, id2, pow(shared::double / least(x.n, y.n), 1.0 / {SEED}) * 100 AS ani FROM s JOIN size x ON x.seq_id = id1 JOIN size y ON y.seq_id = id2)
+SELECT id1, id2, round(ani, 4) AS ani FROM i WHERE ani >= 95""",
     "q31_kmer_vote_label": f"""
 WITH it AS (SELECT DISTINCT seed, lang AS label FROM ({_seed_sql('eval_items', 'item_id', VOTE)}) JOIN eval_items ON seq_id = item_id),
 sure AS (SELECT seed, min(label) AS label FROM it GROUP BY 1 HAVING count(*) = 1),

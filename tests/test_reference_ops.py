@@ -1,10 +1,12 @@
 """Golden micro-cases of the hit filter, islands, pairing and regions, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from phylospan.operators import chunks, divergence, islands, kmers, lineage, next_fit, pairing, reference, regions
-from phylospan.plans import sequence_queries
+from phylospan.plans import pipeline, sequence_queries
 
 HITS = "n_match bigint, q_start bigint, q_end bigint, q_size bigint, q_name string, t_name string, ref_length bigint, divergence double, id int"
 
@@ -154,6 +156,25 @@ def test_sketch_similarity(spark):
     assert [(r.q_id, r.t_id, r.containment) for r in got] == [("a", "b", 1.0)]
 
 
+def test_close_pairs_of_frequent_and_contained_sequences(spark):
+    """All seeds of the group are over-represented; `long` contains one of them and is eight times as long."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = letters(400)
+    group = {f"s{k}": base[:399] + "ACGT"[k % 4] for k in range(8)}
+    rows = [*group.items(), ("long", letters(1400) + base + letters(1400)), ("other", letters(3000))]
+    sequences = spark.createDataFrame([(i, k, s) for k, (i, s) in enumerate(rows)], "seq_id string, record_no bigint, seq string")
+    species = spark.createDataFrame([(i, "Aaa bbb") for i, _ in rows], "seq_id string, species string")
+    nodes = spark.createDataFrame([("'Aaa_bbb'", None, 0.0, 1)], "name string, parent string, dist_root double, order int")
+    near = [*group, "long"]
+    want = {(x, y) for x in near for y in near if x < y}
+    for settings in ({"repeats": 3}, {"repeats": 3, "scale": 4, "short": 0}):
+        built = pipeline.build_database(sequences, species, nodes, 10_000, **settings)
+        got = {tuple(r)[:2] for r in built["close_pairs"].collect()}
+        assert got == want and built["heavy_seeds"].count() > 0
+    assert built["sketches"].where("seq_id = 'other'").count() < 1500
+
+
 def test_score_islands(spark):
     q = spark.createDataFrame([(1, "xxACGTACGTAA")], "id bigint, s string")
     t = spark.createDataFrame([(2, "ACGAACGTAA")], "id bigint, s string")
