@@ -16,25 +16,36 @@ NOT_IN_TREE = "unk:unable_to_find_ref_species_in_tree"
 UNCLASSIFIED_SPECIES = "unk:unclassified_species"
 
 
+def reached_root(nodes: DataFrame, reach: int) -> bool:
+    """Whether no node (name, next) has further ancestors; a circle of parents, which never ends, is an error."""
+    if nodes.where("next is not null").isEmpty():
+        return True
+    if reach > nodes.count():
+        raise ValueError("the parents of the tree form a circle")
+    return False
+
+
 def ancestor_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(name, path): each node's names and root distances from itself up to the root.
 
     Paths double in length with every join (pointer jumping), so a tree of depth d takes log2(d) joins; every second
-    step is written to the shared folder, so that the plan doesn't double as well.
+    step is written to the shared folder, so that the plan doesn't double as well. max_depth is the expected depth: from
+    there on, each step is written and looked at, and it goes on until all paths end at a root.
     """
     paths = nodes.select(
         "name", F.col("parent").alias("next"), F.array(F.struct(F.col("name").alias("name"), F.col("dist_root").alias("dist"))).alias("path")
     )
     reach = 1
-    while reach < max_depth:
+    while True:
+        if reach >= max_depth or reach in (4, 16, 64, 256):
+            paths = materialise(paths)  # each doubling reads the plan twice
+        if reach >= max_depth and reached_root(paths, reach):
+            return paths.select("name", "path")
         further = paths.select(F.col("name").alias("next"), F.col("path").alias("further"), F.col("next").alias("after"))
         paths = paths.join(further, "next", "left").select(
             "name", F.col("after").alias("next"), F.when(F.col("further").isNull(), F.col("path")).otherwise(F.concat("path", "further")).alias("path")
         )
         reach *= 2
-        if reach in (4, 16, 64, 256) and reach < max_depth:
-            paths = materialise(paths)  # each doubling reads the plan twice
-    return paths.select("name", "path")
 
 
 def _names(path: Column) -> Column:
@@ -42,9 +53,9 @@ def _names(path: Column) -> Column:
 
 
 def divergence_of_paths(left: Column, right: Column) -> Column:
-    """Half the path length between two leaves, from their ancestor paths; null where either path is null."""
-    common = F.element_at(F.array_intersect(_names(left), _names(right)), 1)
-    at = F.element_at(F.filter(left, lambda x: x["name"] == common), 1)["dist"]
+    """Half the path length between two leaves, from their ancestor paths; null where either path is null or they have no common ancestor."""
+    common = F.get(F.array_intersect(_names(left), _names(right)), 0)
+    at = F.get(F.filter(left, lambda x: x["name"] == common), 0)["dist"]
     return (F.element_at(left, 1)["dist"] + F.element_at(right, 1)["dist"] - 2 * at) / 2
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from phylospan.config import merge_settings, parse_settings_file
+from phylospan.operators import lineage
 from phylospan.plans.stages import stage, stage_path
 from phylospan.sinks import tsv
 from phylospan.sources import lines as src
@@ -93,3 +94,21 @@ def test_stage_is_reused(spark, tmp_path):
     for parameters in ({"a": 1}, {"a": 1}, {"a": 2}):
         assert stage(spark, str(tmp_path), "s", parameters, build).count() == 3
     assert len(calls) == 2 and stage_path("x", "s", {"a": 1}) != stage_path("x", "s", {"a": 2})
+
+
+def test_tree_deeper_than_expected(spark):
+    """A ladder of 150 levels, each a branch of 1 with a leaf of 1."""
+    text = "'l0':1"
+    for k in range(1, 151):
+        text = f"({text},'l{k}':1)n{k}:1"
+    nodes = newick.newick_nodes(as_lines(spark, [f"{text.removesuffix(':1')};"]))
+    dist = {r.name: r.dist_root for r in nodes.collect()}
+    assert (dist["'l0'"], dist["'l1'"], dist["'l150'"], dist["n1"], dist["n150"]) == (150.0, 150.0, 1.0, 149.0, 0.0)
+    paths = lineage.ancestor_paths(nodes)
+    assert {r.n for r in paths.where("name = \"'l0'\"").selectExpr("size(path) AS n").collect()} == {151}
+    pairs = spark.createDataFrame([("'l0'", "'l150'"), ("'l0'", "'l1'"), ("'l0'", "'l100'")], "x string, y string")
+    got = {r.y: r.divergence for r in lineage.pair_divergence(pairs, paths, "x", "y").collect()}
+    assert got == {"'l150'": 75.5, "'l1'": 1.0, "'l100'": 50.5}
+    circle = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0)], "name string, parent string, dist_root double")
+    with pytest.raises(ValueError):
+        lineage.ancestor_paths(circle, 4)
