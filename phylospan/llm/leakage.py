@@ -1,9 +1,8 @@
 """Evaluation passages inside training text (problem 7).
 
 A positional inverted index is made of the training text: for each three-word term that occurs in an evaluation item,
-the documents and word positions that hold it. Terms are counted over all documents; the rarer of every two
-neighbouring ones of an item is looked up in the index; documents that hold several of an item's at about one offset
-are looked at. Their full
+the documents and word positions that hold it. Documents that hold three neighbouring terms of an item in a row (five
+words) are looked at, since every passage with its changes holds such a stretch. Their full
 lists are intersected by offset (position in the document less position in the item): equal offsets are exact
 phrases, offsets that differ by a word or two nearby are phrases with a word changed, added or dropped.
 """
@@ -28,9 +27,8 @@ BLOCK_ITEMS = 20_000
 NEAR_WORDS = 8
 #: At most one word in so many of a passage may be changed, added or dropped. Several neighbouring words count one more.
 WORDS_PER_CHANGE = 7
-#: Of two neighbouring terms of an item the rarer one is looked up. Even with two changed words, fifteen words then hold
-#: two of these, five or more words apart, at offsets that differ by no more than the words added or dropped.
-RAREST_OF, SPREAD, DRIFT = 2, 5, 2
+#: With one change in seven words at most, a passage of fifteen words or more holds a stretch of five unchanged ones.
+STRETCH_TERMS = 3
 
 #: Tags, the target of a piped link and the name of an inline template: they stand between words, not for words.
 MARKUP = r"</?[a-z][^<>]*>|\[\[[^\[\]|]*\||\{\{[a-z]+\||&[a-z0-9#]{1,8};"
@@ -61,6 +59,10 @@ class TermIndex:
         a, b, c = coded[:-2], coded[1:-1], coded[2:]
         return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.base + b) * self.base + c)
 
+    def stretches(self, terms: np.ndarray) -> np.ndarray:
+        """The key of the stretch that begins at each term: its first and last term share a word and so name all five words."""
+        return terms[: -(STRETCH_TERMS - 1)].astype(np.int64) * len(self.sorted) + terms[STRETCH_TERMS - 1 :]
+
     def terms(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's term, -1 where no item has it."""
         if not len(self.sorted):
@@ -90,7 +92,7 @@ def _near_runs(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def _postings(index):
-    schema = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stretch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms: TermIndex = index.value
@@ -108,8 +110,12 @@ def _postings(index):
             pos = where - offsets[doc[where]]
             keep = _near_runs(doc[where], pos)
             where, pos = where[keep], pos[keep]
+            stretch = np.full(len(where), -1, np.int64)
+            if len(where) >= STRETCH_TERMS:
+                whole = (where[STRETCH_TERMS - 1 :] - where[: -(STRETCH_TERMS - 1)] == STRETCH_TERMS - 1) & (doc[where[STRETCH_TERMS - 1 :]] == doc[where[: -(STRETCH_TERMS - 1)]])
+                stretch[: -(STRETCH_TERMS - 1)] = np.where(whole, terms.stretches(term[where]), -1)
             ids = batch.column(0).cast(pa.int64()).take(pa.array(doc[where]))
-            yield pa.RecordBatch.from_arrays([pa.array(term[where], pa.int32()), ids, pa.array(pos, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(term[where], pa.int32()), ids, pa.array(pos, pa.int32()), pa.array(stretch)], schema=schema)
 
     return run
 
@@ -138,23 +144,13 @@ def _leaks(runs: pd.Series) -> pd.Series:
 
 def _find(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     index = TermIndex([w for _, w in items])
-    rows = [
-        (item_id, k, int(t))
-        for item_id, words in items
-        for k, t in enumerate(index.terms(index.keys(np.array([index.word[w] for w in words], np.int64))))
-    ]
-    item_terms = spark.createDataFrame(rows, "item_id bigint, item_pos int, term int")
-    postings = materialise(documents.mapInArrow(_postings(spark.sparkContext.broadcast(index)), "term int, doc_id bigint, pos int"))
-    postings = postings.repartition("doc_id")
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, RAREST_OF - 1)
-    counted = item_terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.select("item_id", F.min(F.struct("n", "item_pos", "term")).over(ahead).alias("x")).select("item_id", "x.item_pos", "x.term").distinct()
+    coded = [(item_id, index.terms(index.keys(np.array([index.word[w] for w in words], np.int64)))) for item_id, words in items]
+    item_terms = spark.createDataFrame([(item_id, k, int(t)) for item_id, terms in coded for k, t in enumerate(terms)], "item_id bigint, item_pos int, term int")
+    item_stretches = spark.createDataFrame([(item_id, int(x)) for item_id, terms in coded for x in np.unique(index.stretches(terms))], "item_id bigint, stretch bigint")
+    postings = materialise(documents.mapInArrow(_postings(spark.sparkContext.broadcast(index)), "term int, doc_id bigint, pos int, stretch bigint"))
     # Both lists have a row a term of the block's items: at most block_items times an item's words.
-    looked_up = postings.join(F.broadcast(rarest), "term").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("off"))
-    nearby = Window.partitionBy("doc_id", "item_id").orderBy("off").rangeBetween(0, DRIFT)
-    spread = F.max("item_pos").over(nearby) - F.min("item_pos").over(nearby)
-    pairs = looked_up.withColumn("spread", spread).where(F.col("spread") >= SPREAD).select("doc_id", "item_id").distinct()
+    pairs = postings.where("stretch >= 0").join(F.broadcast(item_stretches), "stretch").select("doc_id", "item_id").distinct()
+    postings = postings.select("term", "doc_id", "pos").repartition("doc_id")
     hits = (
         postings.join(pairs, "doc_id").join(F.broadcast(item_terms), ["item_id", "term"])
         .select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("off"))

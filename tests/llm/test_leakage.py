@@ -70,3 +70,12 @@ def test_extra_columns_and_long_text(spark):
     df = spark.createDataFrame([(1, "filler word " * 50_000 + text, 5)], "doc_id bigint, text string, term int")
     items = spark.createDataFrame([(7, text)], "item_id bigint, text string")
     assert [tuple(r) for r in leakage.find_leaks(df, items).collect()] == [(1, 7)]
+
+
+def test_changed_words_whose_neighbours_are_common(spark):
+    """Words 3 and 7 of a lone leak of fifteen are changed; the terms that this breaks are the item's rarest."""
+    item = [f"v{k}" for k in range(15)]
+    leak = [f"new{k}" if k in (3, 7) else w for k, w in enumerate(item)]
+    df = spark.createDataFrame([(1, " ".join(["filler"] * 20 + leak + ["filler"] * 20)), (2, " ".join(item[8:12]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.find_leaks(df, items).collect()] == [(1, 7)]
