@@ -86,7 +86,7 @@ KEYS, ORDER = ["run_id", "q_name"], ["q_start", "q_end", "pair_id"]
 
 
 def q17_region_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.region_bounds(regions.compress(overlaps(spark, sf_dir), KEYS, order=ORDER), KEYS).drop("region")
+    return regions.region_bounds(regions.compress(overlaps(spark, sf_dir), KEYS), KEYS).drop("region")
 
 
 def q18_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def q18_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q19_gap_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = regions.cluster_gap(q17_region_compress(spark, sf_dir), KEYS, 50)
-    return clustered.groupBy(*KEYS, "cluster").agg(F.min("region_start").alias("region_start"), F.max("region_end").alias("region_end"), F.sum("n_rows").alias("n_rows")).drop("cluster")
+    return clustered.groupBy(*KEYS, F.col("cluster_start").alias("region_start"), F.col("cluster_end").alias("region_end")).agg(F.sum("n_rows").alias("n_rows"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

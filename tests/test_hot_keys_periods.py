@@ -75,6 +75,34 @@ def test_periods_edge_cases(spark):
     assert periods.periods_and_gaps(df.where("false"), ["run_id", "q_name"]).count() == 0
 
 
+def test_long_intervals_change_nothing_for_others(spark):
+    """Intervals of up to 2^60 beside a hot key of many small ones, and small ones inside, across and at the ends of long ones."""
+    hot = [("hot", k * 40, k * 40 + 9) for k in range(4000)]
+    far = [("far", -(1 << 60), 1 << 60), ("far", (1 << 60) + 2, (1 << 60) + 5), ("far", 7, 9)]
+    wide = 1 << 18
+    rng = np.random.default_rng(3)
+    mixed = [("mix", int(s), int(s + n)) for s, n in zip(rng.integers(-wide * 50, wide * 50, 300), 1 << rng.integers(1, 24, 300))]
+    mixed += [("mix", wide * 60, wide * 64), ("mix", wide * 64 + 1, wide * 64 + 5), ("mix", wide * 61 + 5, wide * 61 + 9), ("mix", wide * 66, wide * 66 + 1), ("mix", wide * 62, wide * 70)]
+    rows = [*hot, *far, *mixed, ("one", 0, 1 << 60)]
+    df = spark.createDataFrame(rows, "q_name string, start bigint, end bigint")
+    expected = sorted((key, *x) for key in ("hot", "far", "mix", "one") for x in brute([(s, e) for k, s, e in rows if k == key]))
+    for tile in (64, wide):
+        assert sorted(tuple(r) for r in periods.periods_and_gaps(df, ["q_name"], tile_bp=tile).collect()) == expected, tile
+    # No more than two pieces a row and level, whatever stands beside it.
+    starts = np.arange(4000) * 40
+    assert len(periods._tiled(starts, starts + 10, 1024)[0]) < 4200
+    assert len(periods._tiled(np.array([0]), np.array([1 << 60]), 1024)[0]) <= 8
+
+
+def test_assign_periods(spark):
+    held = spark.createDataFrame([("a", 0, 10, "x"), ("a", 20, 1 << 50, "y"), ("b", 5, 6, "z")], "k string, seg_start bigint, seg_end bigint, tag string")
+    rows = [("a", p) for p in (-1, 0, 10, 15, 20, 1 << 20, 1 << 49, (1 << 50) + 1)] + [("b", 5), ("c", 5), (None, 5), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, at bigint")
+    got = sorted((r.k, r.at, r.period_start, r.tag) for r in periods.assign_periods(df, held, ["k"], "at").collect())
+    assert got == [("a", 0, 0, "x"), ("a", 10, 0, "x"), ("a", 20, 20, "y"), ("a", 1 << 20, 20, "y"), ("a", 1 << 49, 20, "y"), ("b", 5, 5, "z")]
+    assert periods.assign_periods(df, held.where("false"), ["k"], "at").count() == 0
+
+
 def test_query_periods_restores(spark):
     pairs = spark.createDataFrame([(1, 0, " 'q' ", 5, 20), (1, 1, "q", 0, 4), (1, 3, "q", 1, 2), (2, 0, "q", 1, 2), (1, None, "q", 1, 2), (1, 0, "q", -1, 2), (1, 0, " ", 1, 2)], "run_id bigint, chunk_idx int, q_name string, q_start bigint, q_end bigint")
     runs = spark.createDataFrame([(1, 20)], "run_id bigint, chunk_bp bigint")
