@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers (problem 5).
 
 Each group (a build) is dealt to parts of bounded size. A part is packed by best-fit decreasing, and sequences longer
-than a container, which alone may be split, are poured into the space that is left. A dual-feasible-function bound says
-how many containers a part needs at least; parts that reach it are certified and done. The others hand their loosely
-filled containers back; those items are dealt anew across the group's parts and packed again, and a group keeps the
-new packing where it takes fewer containers.
+than a container, which alone may be split, are poured into the space that is left. Dual-feasible-function bounds, summed
+over all parts, say how many containers the whole build needs at least; a build that takes no more is certified and
+done. In the others, all containers with at least half the build's mean gap hand their contents back, small items in bundles,
+so that a part of bounded size holds many containers; they are dealt anew across the build's parts and packed again.
+This goes on while it saves containers.
 """
 
 from __future__ import annotations
@@ -16,9 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospan.session import cut_lineage
+from phylospan.session import materialise
 
-PART_ITEMS = 20_000
+PART_ITEMS = 50_000
+#: Thresholds of the whole build's bound, as parts of the capacity.
+GRID = 64
+#: In a container that is opened again, items below this part of the capacity move in bundles of up to twice the size.
+BUNDLE = 1024
+MAX_ROUNDS = 12
 
 
 def lower_bound(sizes: np.ndarray, capacity: int, pourable: int = 0) -> int:
@@ -90,31 +96,70 @@ def pack_part(ids: list, sizes: np.ndarray, capacity: int) -> tuple[list[tuple],
     return rows, len(left), lower_bound(sizes[whole], capacity, poured)
 
 
-_PACKED = "build_id bigint, part bigint, bin bigint, seq_id string, piece_no int, piece_bp bigint, item_bp bigint, max_bp bigint, loose boolean"
+def bound_of_histogram(sizes: pd.DataFrame, capacity: int) -> int:
+    """The bound of lower_bound for a whole build, from counts and sums a class of sizes; thresholds are the grid's.
+
+    sizes: slot (twice the size's grid place, rounded down, and one more where it lies between two), n, bp of items up to
+    the capacity; slots above the grid are items longer than a container, whose pieces may go anywhere.
+    """
+    slot, n, bp = (sizes[c].to_numpy(np.int64) for c in ("slot", "n", "bp"))
+    best = -(-int(bp.sum()) // capacity)
+    whole = slot <= 2 * GRID
+    for j in range(GRID // 2 + 1):
+        full, big = whole & (slot > 2 * (GRID - j)), whole & (slot > GRID) & (slot <= 2 * (GRID - j))
+        rest = whole & (slot >= 2 * j) & (slot <= GRID)
+        beside = int(n[big].sum()) * capacity - int(bp[big].sum())
+        best = max(best, int(n[full].sum() + n[big].sum()) + max(0, -(-(int(bp[rest].sum()) - beside) // capacity)))
+    return best
+
+
+def build_bounds(items: DataFrame) -> DataFrame:
+    """(build_id, bound): the containers that each build needs at least."""
+    scaled = F.col("seq_length").cast("decimal(20,0)") * F.lit(GRID).cast("decimal(3,0)")
+    low = F.expr(f"cast(seq_length as decimal(20,0)) * {GRID} div max_bp")
+    low = F.when(F.col("seq_length") > F.col("max_bp"), F.lit(GRID + 1)).otherwise(low)
+    between = (F.col("seq_length") <= F.col("max_bp")) & (scaled > low.cast("decimal(3,0)") * F.col("max_bp").cast("decimal(20,0)"))
+    slots = items.groupBy("build_id", "max_bp", (2 * low + between.cast("int")).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq_length").alias("bp"))
+
+    def bound(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"build_id": group["build_id"].iloc[:1], "bound": [bound_of_histogram(group, int(group["max_bp"].iloc[0]))]})
+
+    return slots.groupBy("build_id").applyInPandas(bound, "build_id bigint, bound bigint")
+
+
+_PACKED = "build_id bigint, part bigint, bin bigint, unit bigint, seq_id string, piece_no int, piece_bp bigint"
+_PLACED = "build_id bigint, part bigint, unit bigint, unit_bp bigint, new_part bigint, new_bin bigint"
 
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    """Packs a part. unit numbers what moves together when a container is opened: an item, a piece or a bundle of small items."""
     group = group.sort_values(["seq_length", "seq_id"], ascending=[False, True], kind="stable")
     sizes, ids = group["seq_length"].to_numpy(np.int64), group["seq_id"].tolist()
     capacity = int(group["max_bp"].iloc[0])
-    rows, bins, bound = pack_part(ids, sizes, capacity)
-    out = pd.DataFrame(rows, columns=["bin", "seq_id", "piece_no", "piece_bp"])
-    length = dict(zip(ids, sizes.tolist()))
-    out["item_bp"] = out["seq_id"].map(length) if None not in length else [length[x] for x in out["seq_id"]]
-    out["build_id"], out["part"], out["max_bp"] = int(group["build_id"].iloc[0]), int(group["part"].iloc[0]), capacity
-    # Certified parts are done. In the others, containers filled less than the part's mean go back, unless they hold a piece of a split item.
-    fill = out.groupby("bin")["piece_bp"].transform("sum")
-    split = (out["item_bp"] > capacity).groupby(out["bin"]).transform("any")
-    mean = out["piece_bp"].sum() / max(1, bins)
-    out["loose"] = (bins > bound) & (fill <= mean) & ~split
+    rows, _, _ = pack_part(ids, sizes, capacity)
+    out = pd.DataFrame(rows, columns=["bin", "seq_id", "piece_no", "piece_bp"]).sort_values("bin", kind="stable")
+    small = out["piece_bp"] * BUNDLE < capacity
+    filled = out["piece_bp"].where(small, 0).groupby(out["bin"]).cumsum() * BUNDLE // capacity
+    alone = pd.Series(np.arange(len(out)), index=out.index)
+    out["unit"] = pd.DataFrame({"bin": out["bin"], "of": filled.where(small, -1 - alone)}).groupby(["bin", "of"], sort=False).ngroup()
+    out["build_id"], out["part"] = int(group["build_id"].iloc[0]), int(group["part"].iloc[0])
     return out[[x.split()[0] for x in _PACKED.split(", ")]]
 
 
-def _deal(items: DataFrame, part_items: int, seed: int) -> DataFrame:
-    """Adds the part of each item: about part_items to a part, by a hash of the id."""
-    count = items.groupBy("build_id").agg(F.count(F.lit(1)).alias("items"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("items") / part_items)).cast("bigint")
-    return items.join(count, "build_id").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "seq_id"), parts)).drop("items")
+def _repack(group: pd.DataFrame) -> pd.DataFrame:
+    """Packs the units of a part of the exchange, none of which is longer than a container."""
+    group = group.sort_values(["unit_bp", "part", "unit"], ascending=[False, True, True], kind="stable")
+    place, _ = best_fit_decreasing(group["unit_bp"].to_numpy(np.int64), int(group["max_bp"].iloc[0]))
+    out = group[["build_id", "part", "unit", "unit_bp", "new_part"]].copy()
+    out["new_bin"] = place
+    return out
+
+
+def _parts(rows: DataFrame, part_items: int, name: str, *hashed: object) -> DataFrame:
+    """Adds to each row the number of its part: about part_items rows of a build to a part, by a hash."""
+    count = rows.groupBy("build_id").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / part_items)).cast("bigint")
+    return rows.join(count, "build_id").withColumn(name, F.pmod(F.xxhash64(*hashed), parts)).drop("_rows")
 
 
 def sequences_to_pack(sequences: DataFrame, builds: DataFrame) -> DataFrame:
@@ -124,26 +169,47 @@ def sequences_to_pack(sequences: DataFrame, builds: DataFrame) -> DataFrame:
     return lengths.join(limits, "build_id")
 
 
-def pack_sequences(sequences: DataFrame, builds: DataFrame, part_items: int = PART_ITEMS, rounds: int = 1) -> DataFrame:
+def pack_sequences(sequences: DataFrame, builds: DataFrame, part_items: int = PART_ITEMS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(build_id, container_no, seq_id, piece_no, piece_bp): every sequence in containers of at most max_bp.
 
     Repeated records count once (with their largest length); null, zero and negative lengths, a null build and builds
     without a positive max_bp give no row. Container numbers are unique within a build. Extra columns are ignored.
+    Exchange rounds end when all builds are certified, when one saves nothing, or after max_rounds.
     """
-    items = _deal(sequences_to_pack(sequences, builds), part_items, 0)
-    packed = items.groupBy("build_id", "part").applyInPandas(_pack, _PACKED).withColumn("round", F.lit(0))
-    for k in range(1, rounds + 1):
-        packed = cut_lineage(packed)
-        loose = packed.where("loose")
-        again = _deal(loose.select("build_id", "seq_id", F.col("item_bp").alias("seq_length"), "max_bp"), part_items, k)
-        anew = cut_lineage(again.groupBy("build_id", "part").applyInPandas(_pack, _PACKED).withColumn("round", F.lit(k)))
-        count = lambda df, name: df.select("build_id", "round", "part", "bin").distinct().groupBy("build_id").agg(F.count(F.lit(1)).alias(name))
-        better = count(loose, "was").join(count(anew, "now"), "build_id").where("now < was").select("build_id", F.lit(True).alias("better"))
-        kept = packed.join(better, "build_id", "left").where("not (loose and coalesce(better, false))").drop("better").withColumn("loose", F.lit(False))
-        packed = kept.unionByName(anew.join(better, "build_id", "left_semi"))
-    slots = F.lit(rounds + 1)
-    return packed.select(
-        "build_id",
-        ((F.col("part") * slots + F.col("round")) * F.lit(1 << 32) + F.col("bin")).alias("container_no"),
-        "seq_id", "piece_no", "piece_bp",
-    )
+    items = sequences_to_pack(sequences, builds)
+    dealt = _parts(items, part_items, "part", F.lit(0), "seq_id")
+    packed = materialise(dealt.groupBy("build_id", "part").applyInPandas(_pack, _PACKED))
+    limits = materialise(build_bounds(items).join(builds.where("max_bp > 0").groupBy("build_id").agg(F.max("max_bp").cast("bigint").alias("max_bp")), "build_id"))
+    units = packed.groupBy("build_id", "part", "unit").agg(F.sum("piece_bp").alias("unit_bp"), F.first("bin").alias("bin"))
+    units = units.select("build_id", "part", "unit", "unit_bp", F.lit(0).alias("round"), F.col("part").alias("in_part"), F.col("bin").alias("in_bin"))
+    place = ["build_id", "round", "in_part", "in_bin"]
+    moved = False
+    for k in range(1, max_rounds + 1):
+        containers = units.groupBy(*place).agg(F.sum("unit_bp").alias("fill"))
+        means = containers.groupBy("build_id").agg(F.count(F.lit(1)).alias("bins"), F.avg("fill").alias("mean"))
+        uncertified = means.join(limits, "build_id").where("bins > bound").select("build_id", "mean", "max_bp")
+        loose = materialise(containers.join(uncertified, "build_id").where("max_bp - fill >= (max_bp - mean) / 2").select(*place, "max_bp"))
+        if loose.isEmpty():
+            break
+        pool = _parts(units.join(loose, place), part_items, "new_part", F.lit(k), "part", "unit")
+        anew = materialise(pool.groupBy("build_id", "new_part").applyInPandas(_repack, _PLACED))
+        was = loose.groupBy("build_id").agg(F.count(F.lit(1)).alias("was"))
+        now = anew.select("build_id", "new_part", "new_bin").distinct().groupBy("build_id").agg(F.count(F.lit(1)).alias("now"))
+        better = was.join(now, "build_id").where("now < was").select("build_id")
+        changed = anew.join(better, "build_id", "left_semi")
+        if changed.isEmpty():
+            break
+        unit = ["build_id", "part", "unit"]
+        units = units.join(changed.select(*unit, "new_part", "new_bin"), unit, "left")
+        anywhere = F.col("new_bin").isNotNull()
+        units = materialise(units.select(
+            *unit, "unit_bp", F.when(anywhere, F.lit(k)).otherwise(F.col("round")).alias("round"),
+            F.coalesce("new_part", "in_part").alias("in_part"), F.coalesce("new_bin", "in_bin").alias("in_bin"),
+        ))
+        moved = True
+    if moved:
+        packed = packed.join(units.select("build_id", "part", "unit", "round", "in_part", "in_bin"), ["build_id", "part", "unit"])
+    else:
+        packed = packed.withColumns({"round": F.lit(0), "in_part": F.col("part"), "in_bin": F.col("bin")})
+    number = (F.col("in_part") * F.lit(max_rounds + 1) + F.col("round")) * F.lit(1 << 32) + F.col("in_bin")
+    return packed.select("build_id", number.alias("container_no"), "seq_id", "piece_no", "piece_bp")
