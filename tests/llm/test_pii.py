@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 
 from phylospan.llm import pii, pii_training
@@ -12,15 +15,73 @@ def found(text, weights):
     return {(k, text[a:b]) for a, b, k in pii.find_in_text(text, weights)}
 
 
-def test_held_out_accuracy(weights):
-    """Sentences filled with other values than those of the fit."""
+#: Sentences and names that are no part of the fit, {..} marks a name.
+NAMES_IN_SENTENCES = """
+{Gunnar Lindqvist} designed the mill.
+{Yolanda Pereira} was a nurse in the war.
+We met {Fatoumata Diallo} at noon.
+{Siobhan Gallagher} wrote the second verse.
+[[{Wanda Sobczak}]] inherited it in 1931.
+The portrait was painted by {Ingeborg Aasen}.
+According to {Takeshi Morimoto}, the bridge had collapsed.
+Mrs. {Adebayo Ogunleye} opened the library.
+a letter by {Chiara Bellini} was found
+Her colleague thanked {Dmitri Volkov} for it.
+{Zsófia Kovács} built the tower.
+Herr {Wolfgang Steinmetz} besuchte die Ausstellung.
+Laut {Annegret Vogelsang} war niemand dort.
+{Friedhelm Krause} gründete den Verein.
+Selon {Maëlys Rousseau}, le pont est fermé.
+Mme {Océane Lefèvre} quitta la ville.
+Écrit par {Thibault Garnier}.
+Según {Joaquín Etxeberria}, no pasó nada.
+La Sra. {Rosario Villalobos} visitó el pueblo.
+{Ignacio Zubizarreta} fundó la escuela.
+| author = {Kwabena Asante}
+| photographer = {Ludmila Horáková}
+Reported by {J. Haverkamp} in May.
+Dr. {Papadopoulos, Eleni} led the project.
+Everybody knows {Nils Ekström} is late
+'''{Hedda Sørensen}''' (1851-1920) was a painter.
+Port Lindqvist lies on the coast.
+The Harbour Bridge closed in 2004.
+Lake Pereira is deep.
+die Werkstatt von Hohenfels brannte 1920.
+near Upper Sobczak, the road ends
+BUY CHEAP WATCHES NOW
+[[Category:Old Mills]]
+the clerk of Great Morimoto sold the farm
+''Quercus roburensis'' grows near Sandvik.
+""".strip().split("\n")
+
+
+def test_held_out_names(weights):
+    """Real names in other sentences: nine of ten are found, and nine of ten found ones are right."""
+    good = total = wrong = 0
+    for line in NAMES_IN_SENTENCES:
+        want = set(re.findall(r"\{(.*?)\}", line))
+        got = {x for k, x in found(re.sub(r"[{}]", "", line), weights) if k == "name"}
+        good, total, wrong = good + len(got & want), total + len(want), wrong + len(got - want)
+    assert total == 26 and good >= 0.9 * total and wrong <= 0.1 * total
+
+
+def test_held_out_fillings(weights):
+    """The sentences of the fit with other values."""
     good = total = wrong = 0
-    for text, gold in pii_training.examples(copies=6, seed=99):
+    for text, gold in pii_training.examples(copies=2, seed=99):
         got = set(pii.find_in_text(text, weights))
-        good += len(got & set(gold))
-        total += len(gold)
-        wrong += len(got - set(gold))
-    assert good / total > 0.97 and wrong / total < 0.02
+        good, total, wrong = good + len(got & set(gold)), total + len(gold), wrong + len(got - set(gold))
+    assert good / total > 0.95 and wrong / total < 0.03
+
+
+def test_time_is_linear_in_capitalised_words(weights):
+    took = []
+    for n in (2_500, 10_000):
+        text = " ".join(f"Gunnar Lindqvist{chr(97 + k % 26)}" for k in range(n // 2))
+        began = time.perf_counter()
+        pii.find_in_text(text, weights)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
 
 
 @pytest.mark.parametrize(
@@ -39,6 +100,11 @@ def test_held_out_accuracy(weights):
         ("Dr. Torastel, Victor led the dig of 1932.", {("name", "Torastel, Victor")}),
         ("| autor = Mateo J. Lemkorin\n", {("name", "Mateo J. Lemkorin")}),
         ("According to Hugh Dalozan, the garden was empty.", {("name", "Hugh Dalozan")}),
+        ("Tel:+1-433-555-0134, Phone 555-0199", {("phone", "+1-433-555-0134"), ("phone", "555-0199")}),
+        ("card 4111 1111 1111 1111 was charged", set()),
+        ("She lives at 7 Harbour View.", {("address", "7 Harbour View")}),
+        ("deliver to: 14 Elm Parkway", {("address", "14 Elm Parkway")}),
+        ("| indirizzo = Via Roma 12", {("address", "Via Roma 12")}),
         ("Port Hugh lies on the bay. [[User:Wren_41]] 18:18", set()),
         ("see revision 73306220 and diff 48245828", set()),
         ("Population 6 885 198 (1915-2018). ISBN 978-7-41-884787-1", set()),
@@ -59,7 +125,6 @@ def test_marginals_are_consistent(weights):
     text = "Laut Ute Dieter Koliskel war das Archiv leer."
     items = pii.scored(text, pii.candidates(text))
     scores = [sum(weights.get(n, 0.0) for n in x[3]) / 5 for x in items]
-    scaled = {n: w / 5 for n, w in weights.items()}
     total, per = 0.0, [0.0] * len(items)
     for size in range(len(items) + 1):
         for pick in itertools.combinations(range(len(items)), size):
@@ -69,7 +134,7 @@ def test_marginals_are_consistent(weights):
                 total += p
                 for k in pick:
                     per[k] += p
-    assert [x / total for x in per] == pytest.approx(pii._expected(items, scaled))
+    assert [x / total for x in per] == pytest.approx(pii._expected(items, [s for s in scores]))
 
 
 def test_operators(spark):
