@@ -23,7 +23,8 @@ from phylospan.session import materialise
 
 TERM_WORDS = 3
 MIN_WORDS = 15
-BLOCK_ITEMS = 20_000
+#: Words of the items of a block, which bounds all that is broadcast: about 100 bytes a word.
+BLOCK_WORDS = 500_000
 NEAR_WORDS = 8
 #: At most one word in so many of a passage may be changed, added or dropped. Several neighbouring words count one more.
 WORDS_PER_CHANGE = 7
@@ -44,20 +45,31 @@ def words_of(texts: pa.Array) -> pa.ListArray:
 
 
 class TermIndex:
-    """The terms of a block of items: the number of each word, and the sorted keys of the terms."""
+    """The terms of a block of items: the number of each word, and the sorted keys of pairs of words and of terms.
+
+    A key is a number of at most (words + 1)^2, or pairs times words, which 64 bits hold for any block of under two
+    thousand million words.
+    """
 
     def __init__(self, item_words: list[list[str]]):
         self.word = {w: k for k, w in enumerate(sorted({w for words in item_words for w in words}))}
         self.base = len(self.word) + 1
-        keys = [self.keys(np.array([self.word[w] for w in words], np.int64)) for words in item_words]
-        self.sorted = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        coded = [self.code(words) for words in item_words]
+        joined = lambda parts: np.unique(np.concatenate([*parts, np.empty(0, np.int64)]))
+        self.pairs = joined([c[:-1] * self.base + c[1:] for c in coded])
+        keys = joined([self.keys(c) for c in coded])
+        self.sorted = keys[keys >= 0]
+
+    def code(self, words: list[str]) -> np.ndarray:
+        return np.array([self.word[w] for w in words], np.int64)
 
     def keys(self, coded: np.ndarray) -> np.ndarray:
-        """The key of the term that begins at each word; -1 where a word is in no item."""
+        """The key of the term that begins at each word; -1 where two neighbouring words are in no item."""
         if len(coded) < TERM_WORDS:
             return np.empty(0, np.int64)
         a, b, c = coded[:-2], coded[1:-1], coded[2:]
-        return np.where((a < 0) | (b < 0) | (c < 0), -1, (a * self.base + b) * self.base + c)
+        pair = _place(self.pairs, np.where((a < 0) | (b < 0), -1, a * self.base + b))
+        return np.where((pair < 0) | (c < 0), -1, pair * self.base + c)
 
     def stretches(self, terms: np.ndarray) -> np.ndarray:
         """The key of the stretch that begins at each term: its first and last term share a word and so name all five words."""
@@ -65,10 +77,15 @@ class TermIndex:
 
     def terms(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's term, -1 where no item has it."""
-        if not len(self.sorted):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == keys, at, -1)
+        return _place(self.sorted, keys)
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table, -1 where it isn't there."""
+    if not len(table):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 def _near_runs(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -125,34 +142,63 @@ def _leaks(runs: pd.Series) -> pd.Series:
     """Whether a pair's runs, joined where their offsets drift by a word or two, make up a passage."""
 
     def judge(parts: np.ndarray) -> bool:
-        ends: list[tuple[int, int, int, int, int]] = []  # (doc end, item end, item start, words lost, offset)
+        ends: list[tuple[int, int, int, int]] = []  # (doc end, item end, item start, words lost)
         for r in sorted(parts, key=lambda r: (r["first"], r["last"])):
             first, last, offset, lost = r["first"], r["last"], r["off"], r["lost"]
-            options = [(last, last - offset, first - offset, lost, offset)]
-            for doc_end, item_end, item_start, before, _ in ends:
+            # Runs come by their first word, so an end that is too far before this one is so for all that follow.
+            ends = [e for e in ends if first - e[0] - 1 <= 5]
+            options = {lost: first - offset}  # the smallest item start for each number of lost words
+            for doc_end, item_end, item_start, before in ends:
                 in_doc, in_item = first - doc_end - 1, first - offset - item_end - 1
                 if -3 <= min(in_doc, in_item) and max(in_doc, in_item) <= 5 and abs(in_doc - in_item) <= 2 and last > doc_end and last - offset > item_end:
                     between = max(in_doc, in_item, abs(in_doc - in_item), 1)
-                    options.append((last, last - offset, item_start, before + lost + between + (between > 1), offset))
-            if any(e - s + 1 >= MIN_WORDS and n * WORDS_PER_CHANGE <= e - s + 1 for _, e, s, n, _ in options):
-                return True
-            ends += sorted(options, key=lambda o: (o[3] * WORDS_PER_CHANGE - (o[1] - o[2])))[:3]
+                    total = before + lost + between + (between > 1)
+                    options[total] = min(item_start, options.get(total, item_start))
+            reached = first - offset + 1
+            for total in sorted(options):
+                length = last - offset - options[total] + 1
+                if length >= MIN_WORDS and total * WORDS_PER_CHANGE <= length:
+                    return True
+                # A chain that lost more words is kept only if it is longer.
+                if options[total] < reached:
+                    reached = options[total]
+                    ends.append((last, last - offset, options[total], total))
         return False
 
     return runs.map(judge)
 
 
-def _find(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
-    index = TermIndex([w for _, w in items])
-    coded = [(item_id, index.terms(index.keys(np.array([index.word[w] for w in words], np.int64)))) for item_id, words in items]
-    item_terms = spark.createDataFrame([(item_id, k, int(t)) for item_id, terms in coded for k, t in enumerate(terms)], "item_id bigint, item_pos int, term int")
-    item_stretches = spark.createDataFrame([(item_id, int(x)) for item_id, terms in coded for x in np.unique(index.stretches(terms))], "item_id bigint, stretch bigint")
-    postings = materialise(documents.mapInArrow(_postings(spark.sparkContext.broadcast(index)), "term int, doc_id bigint, pos int, stretch bigint"))
-    # Both lists have a row a term of the block's items: at most block_items times an item's words.
-    pairs = postings.where("stretch >= 0").join(F.broadcast(item_stretches), "stretch").select("doc_id", "item_id").distinct()
+def _item_terms(index):
+    """(item_id, item_pos, term, stretch) of every term of the items; the stretch that begins at it, -1 at an item's end."""
+    schema = pa.schema([("item_id", pa.int64()), ("item_pos", pa.int32()), ("term", pa.int32()), ("stretch", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: TermIndex = index.value
+        for batch in batches:
+            for item_id, words in zip(batch.column(0).to_pylist(), words_of(batch.column(1)).to_pylist()):
+                terms = table.terms(table.keys(table.code(words))) if len(words) >= MIN_WORDS else np.empty(0, np.int64)
+                stretch = np.full(len(terms), -1, np.int64)
+                if len(terms) >= STRETCH_TERMS:
+                    stretch[: -(STRETCH_TERMS - 1)] = table.stretches(terms)
+                columns = [np.full(len(terms), item_id), np.arange(len(terms)), terms, stretch]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def _find(spark: SparkSession, documents: DataFrame, items: DataFrame, words: list[list[str]]) -> DataFrame:
+    """Leaks of one block of items (item_id, text), whose words are given."""
+    index = TermIndex(words)
+    shared = spark.sparkContext.broadcast(index)
+    # A row a word of the block: small by the block's bound, unless a single item is longer than it.
+    small = F.broadcast if sum(map(len, words)) <= 2 * BLOCK_WORDS else lambda df: df
+    terms = items.mapInArrow(_item_terms(shared), "item_id bigint, item_pos int, term int, stretch bigint")
+    item_terms, item_stretches = small(terms.select("item_id", "item_pos", "term")), small(terms.where("stretch >= 0").select("item_id", "stretch").distinct())
+    postings = materialise(documents.mapInArrow(_postings(shared), "term int, doc_id bigint, pos int, stretch bigint"))
+    pairs = postings.where("stretch >= 0").join(item_stretches, "stretch").select("doc_id", "item_id").distinct()
     postings = postings.select("term", "doc_id", "pos").repartition("doc_id")
     hits = (
-        postings.join(pairs, "doc_id").join(F.broadcast(item_terms), ["item_id", "term"])
+        postings.join(pairs, "doc_id").join(item_terms, ["item_id", "term"])
         .select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("off"))
     )
     along = Window.partitionBy("doc_id", "item_id", "off").orderBy("pos")
@@ -168,23 +214,26 @@ def _find(spark: SparkSession, documents: DataFrame, items: list[tuple[int, list
     return grouped.where(F.col("words") >= MIN_WORDS - 5).where(_leaks("runs")).select("doc_id", "item_id")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id): the documents that hold a passage of at least 15 words of an item, in order and together.
 
     Case, accents, punctuation, markup, line ends, entities and invisible characters don't matter; hidden comments are
     text. Of a passage, one word in seven may be changed, added or dropped. Null and empty texts hold nothing; items under
     15 words can't leak; rows with the same id count as one document. The items are the query set: they are taken in
-    blocks of `block_items`, each block's terms being broadcast; every block is held against all documents.
+    blocks of about `block_words` words, each block's terms being broadcast; every block is held against all documents.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("item_id").isNotNull() & (F.length("text") > 0)).dropDuplicates(["item_id"])
-    blocks = max(1, -(-wanted.count() // block_items))
+    # White space and signs bound the number of words from above.
+    size = wanted.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = max(1, -(-size // block_words))
     found = None
     for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        words = words_of(pa.array([r["text"] for r in part], pa.string())).to_pylist()
-        usable = [(r["item_id"], w) for r, w in zip(part, words) if len(w) >= MIN_WORDS]
-        one = _find(spark, texts, usable)
+        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        # Only the words of a block's items come to the driver.
+        texts_of = pa.array([r["text"] for r in part.select("text").collect()], pa.string())
+        words = [w for w in words_of(texts_of).to_pylist() if len(w) >= MIN_WORDS]
+        one = _find(spark, texts, part, words)
         found = one if found is None else found.unionByName(one)
     return found

@@ -1,7 +1,7 @@
 """Mapping of freely typed names to a canonical list (problem 2).
 
-Only the distinct typed values are resolved. A symmetric-delete dictionary of the list is broadcast (in blocks of a
-bounded number of names): names and values that are within the edit bound share a key made by deleting that many
+Only the distinct typed values are resolved. A symmetric-delete dictionary of the list, hashed keys in sorted arrays, is
+broadcast in blocks of a bounded number of names: names and values that are within the edit bound share a key made by deleting that many
 letters from their first letters. The few candidates are ranked by a weighted Damerau-Levenshtein cost, then by how
 often the list's name occurs in the data. Values without a candidate come out with id 0.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import NULL_WORDS
+from phylospan.session import materialise
 
 MAX_EDITS = 3
 WORD_EDITS = 2
 PREFIX = 11
-BLOCK_NAMES = 50_000
+#: Names of a block. A name has up to 366 keys of 12 bytes, so a block is 44 MB at most beside its names.
+BLOCK_NAMES = 10_000
 
 # Letters of other scripts that look like a Latin one, and pairs that scanning confuses.
 LOOKALIKES = dict(zip("асеорхуіѕһԁԛԝɡѵјκονατιρυ", "aceopxyishdqwgvjkovatipu"))
@@ -40,10 +43,60 @@ def fold(value: str) -> str:
     return re.sub(r"[\s_]+", " ", text).strip()
 
 
-def deletes(word: str, edits: int, prefix: int = PREFIX) -> set[str]:
-    """The keys of a word: its first letters with up to `edits` of them deleted."""
+@cache
+def _kept(length: int, edits: int) -> np.ndarray:
+    """The places that stay when up to `edits` of `length` letters are deleted, a row a choice, filled up with `length`."""
+    rows = [c for n in range(max(0, length - edits), length + 1) for c in combinations(range(length), n)]
+    out = np.full((len(rows), max(1, length)), length, np.int64)
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
+
+
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 40)], np.uint64)
+
+
+def delete_keys(word: str, edits: int, prefix: int = PREFIX) -> np.ndarray:
+    """The keys of a word: hashes of its first letters with up to `edits` of them deleted. Equal letters give equal keys;
+    a chance collision only adds a candidate, whose distance is looked at."""
     head = word[:prefix]
-    return {"".join(keep) for n in range(max(0, len(head) - edits), len(head) + 1) for keep in combinations(head, n)}
+    codes = np.array([*(ord(c) + 1 for c in head), 0], np.uint64)
+    kept = _kept(len(head), edits)
+    keys = (codes[kept] * _POWERS[: kept.shape[1]]).sum(axis=1, dtype=np.uint64)
+    return keys ^ (keys >> np.uint64(29))
+
+
+def deletes(word: str, edits: int, prefix: int = PREFIX) -> set[int]:
+    """The keys of a word as a set."""
+    return set(delete_keys(word, edits, prefix).tolist())
+
+
+def letter_counts(word: str) -> np.ndarray:
+    """How often each of a-z occurs in a word."""
+    codes = np.frombuffer(word.encode("ascii", "ignore"), np.uint8) - 97
+    return np.bincount(codes[codes < 26], minlength=26).astype(np.int16)
+
+
+class DeleteTable:
+    """From delete keys to entries: two arrays sorted by key."""
+
+    def __init__(self, words: list[str], edits: int):
+        keys = [delete_keys(w, edits) if w else np.empty(0, np.uint64) for w in words]
+        entry = np.repeat(np.arange(len(words), dtype=np.int32), [len(k) for k in keys])
+        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.entries, self.edits = flat[order], entry[order], edits
+        self.letters = np.array([letter_counts(w) for w in words], np.int16).reshape(-1, 26)
+
+    def near(self, word: str) -> list[int]:
+        """Entries that share a key and whose letters differ by no more than the edits can change."""
+        wanted = np.unique(delete_keys(word, self.edits))
+        low, high = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, wanted, "right")
+        hit = high > low
+        if not hit.any():
+            return []
+        near = np.unique(np.concatenate([self.entries[a:b] for a, b in zip(low[hit], high[hit])]))
+        return near[np.abs(self.letters[near] - letter_counts(word)).sum(axis=1) <= 2 * self.edits].tolist()
 
 
 def weighted_distance(a: str, b: str, bound: float) -> tuple[float, int]:
@@ -85,42 +138,20 @@ def weighted_distance(a: str, b: str, bound: float) -> tuple[float, int]:
     return rows[-1][-1]
 
 
-def letter_counts(word: str) -> np.ndarray:
-    """How often each of a-z occurs in a word."""
-    codes = np.frombuffer(word.encode("ascii", "ignore"), np.uint8) - 97
-    return np.bincount(codes[codes < 26], minlength=26).astype(np.int16)
-
-
 class Dictionary:
     """The symmetric-delete dictionary of a block of names: (name, id, frequency)."""
 
     def __init__(self, names: list[tuple[str, int, int]]):
         self.names = []
-        self.whole: dict[str, list[int]] = {}
-        self.genus: dict[str, list[int]] = {}
-        self.epithet: dict[str, list[int]] = {}
         self.exact: dict[str, tuple[float, int, int]] = {}
         for name, species_id, frequency in names:
             words = re.findall(r"[a-z]+", fold(name))
             if not words:
                 continue
-            k = len(self.names)
             same = (0.0, -frequency, species_id)
             self.exact["".join(words)] = min(same, self.exact.get("".join(words), same))
             self.names.append((words[0], words[1] if len(words) > 1 else "", "".join(words), species_id, frequency))
-            for table, word, edits in ((self.whole, "".join(words), MAX_EDITS), (self.genus, words[0], WORD_EDITS), (self.epithet, words[1] if len(words) > 1 else "", WORD_EDITS)):
-                for key in deletes(word, edits) if word else ():
-                    table.setdefault(key, []).append(k)
-        self.letters = {id(t): np.array([letter_counts(n[at]) for n in self.names], np.int16).reshape(-1, 26) for t, at in ((self.genus, 0), (self.epithet, 1), (self.whole, 2))}
-
-    def _near(self, table: dict[str, list[int]], word: str, edits: int) -> list[int]:
-        """Entries that share a delete key and whose letters differ by no more than the edits can change."""
-        shared = {k for key in deletes(word, edits) for k in table.get(key, ())}
-        if not shared:
-            return []
-        near = np.fromiter(shared, np.int64, len(shared))
-        differ = np.abs(self.letters[id(table)][near] - letter_counts(word)).sum(axis=1)
-        return near[differ <= 2 * edits].tolist()
+        self.genus, self.epithet, self.whole = (DeleteTable([n[k] for n in self.names], edits) for k, edits in ((0, WORD_EDITS), (1, WORD_EDITS), (2, MAX_EDITS)))
 
     def lookup(self, value: str) -> tuple[float, int, int] | None:
         """(cost, -frequency, id) of the best entry within the bound, or None."""
@@ -135,7 +166,7 @@ class Dictionary:
             if whole:
                 return whole
             for joined in {"".join(plain), "".join(plain[:2]), "".join(plain[:3]), plain[0] if plain and len(plain[0]) > 15 else ""}:
-                for k in self._near(self.whole, joined, MAX_EDITS) if len(joined) > 6 else ():
+                for k in self.whole.near(joined) if len(joined) > 6 else ():
                     genus, epithet, whole, species_id, frequency = self.names[k]
                     cost, edits = weighted_distance(joined, whole, MAX_EDITS)
                     if edits <= MAX_EDITS and edits * 5 <= len(whole):
@@ -149,13 +180,13 @@ class Dictionary:
         short_genus, short_epithet = first.endswith("."), second.endswith(".")
         first, second = first.rstrip("."), second.rstrip(".")
         if short_genus and not short_epithet and len(second) > 4:
-            for k in self._near(self.epithet, second, WORD_EDITS):
+            for k in self.epithet.near(second):
                 genus, epithet, _, species_id, frequency = self.names[k]
                 cost, edits = weighted_distance(second, epithet, WORD_EDITS)
                 if genus.startswith(first) and edits <= WORD_EDITS and edits * 4 <= len(epithet):
                     yield cost + 0.25, -frequency, species_id
         elif short_epithet and not short_genus and len(second) >= 3:
-            for k in self._near(self.genus, first, WORD_EDITS):
+            for k in self.genus.near(first):
                 genus, epithet, _, species_id, frequency = self.names[k]
                 cost, edits = weighted_distance(first, genus, WORD_EDITS)
                 tail, more = weighted_distance(second, epithet[: len(second)], 1)
@@ -195,17 +226,20 @@ def resolve_values(values: DataFrame, species: DataFrame, frequency: DataFrame |
     # An explicit number of partitions: the strings are few bytes but costly, so they must not be coalesced into one task.
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = values.select("value").where(F.col("value").isNotNull()).distinct().repartition(spread)
+    if blocks > 1:
+        # Read once a block; the data behind them are read once.
+        names, distinct = materialise(names), materialise(distinct)
     context = values.sparkSession.sparkContext
     found: DataFrame | None = None
     for b in range(blocks):
         part = names if blocks == 1 else names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
-        entries = context.broadcast(sorted(tuple(x) for x in part.collect()))
+        # Built once a block and loaded once a worker process.
+        dictionary = context.broadcast(Dictionary(sorted(tuple(x) for x in part.collect())))
 
-        def run(batches: Iterator[pd.DataFrame], entries=entries) -> Iterator[pd.DataFrame]:
-            dictionary = None
+        def run(batches: Iterator[pd.DataFrame], dictionary=dictionary) -> Iterator[pd.DataFrame]:
+            lookup = dictionary.value.lookup
             for batch in batches:
-                dictionary = dictionary or Dictionary(entries.value)
-                best = [dictionary.lookup(v) for v in batch["value"]]
+                best = [lookup(v) for v in batch["value"]]
                 yield pd.DataFrame({
                     "value": batch["value"],
                     "cost": [x[0] if x else float("inf") for x in best],

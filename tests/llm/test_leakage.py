@@ -60,8 +60,8 @@ def test_found_and_not_found(spark):
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, item_id string")
     rows = [(k, " ".join(w), "y") for k, w in items.items()] + [(90, None, "y"), (91, "too short", "y"), (None, "x " * 40, "y")]
     tests = spark.createDataFrame(rows, "item_id bigint, text string, doc_id string")
-    for blocks in (1000, 4):
-        assert {tuple(r) for r in leakage.find_leaks(df, tests, block_items=blocks).collect()} == expected
+    for words_ in (100_000, 120):
+        assert {tuple(r) for r in leakage.find_leaks(df, tests, block_words=words_).collect()} == expected
     assert leakage.find_leaks(df, tests.where("false")).count() == 0 and leakage.find_leaks(df.where("false"), tests).count() == 0
 
 
@@ -79,3 +79,20 @@ def test_changed_words_whose_neighbours_are_common(spark):
     df = spark.createDataFrame([(1, " ".join(["filler"] * 20 + leak + ["filler"] * 20)), (2, " ".join(item[8:12]))], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
     assert [tuple(r) for r in leakage.find_leaks(df, items).collect()] == [(1, 7)]
+
+
+def test_many_words_and_all_chains():
+    """Keys of a block of many words stay apart, and a chain that is neither the longest nor the cleanest so far is kept."""
+    import numpy as np
+    import pandas as pd
+
+    words = [[f"w{k}" for k in range(a, a + 40)] for a in range(0, 40_000, 40)]
+    index = leakage.TermIndex(words)
+    terms = index.terms(index.keys(index.code(words[-1])))
+    assert (np.diff(terms) == 1).all() or len(set(terms.tolist())) == 38
+    assert len(index.sorted) == 38_000 and index.terms(index.keys(np.array([0, 1, 3], np.int64))).tolist() == [-1]
+    run = lambda first, last, off, lost: {"first": first, "last": last, "off": off, "lost": lost}
+    judge = lambda *runs: bool(leakage._leaks.func(pd.Series([list(runs)]))[0])
+    assert judge(run(0, 14, 0, 0)) and not judge(run(0, 13, 0, 0))
+    assert judge(run(0, 7, 0, 0), run(9, 17, 0, 0)) and not judge(run(0, 4, 0, 0), run(30, 44, 20, 3))
+    assert judge(run(0, 9, 0, 0), *(run(11 + k, 16, k - 3, 1) for k in range(3)), run(11, 20, 0, 0))
