@@ -92,6 +92,12 @@ def split_quoted(line: str) -> list[str] | None:
         at += 1
 
 
+def _magnitude(digits: str) -> tuple[int, str]:
+    """Orders numbers written in digits, of any length."""
+    plain = digits.lstrip("0")
+    return len(plain), plain
+
+
 def diagnose(line: str) -> tuple[list[str] | None, str | None]:
     """(fields, None) of a sound record, else (None, the first reason that applies)."""
     fields = split_quoted(line)
@@ -105,7 +111,7 @@ def diagnose(line: str) -> tuple[list[str] | None, str | None]:
     numbers = [fields[k].strip(" ") for k in (Q_SIZE, Q_START, Q_END)]
     if not all(x and x.isascii() and x.isdigit() for x in numbers):
         return None, "q_end"
-    size, start, end = (int(x) if len(x) <= 4000 else 10**4000 for x in numbers)
+    size, start, end = (_magnitude(x) for x in numbers)
     return (fields, None) if start < end <= size else (None, "q_end")
 
 
@@ -199,8 +205,12 @@ def _typed(field: Column, kind: str) -> Column:
 
 
 def sound_hits(lines: DataFrame) -> DataFrame:
-    """line_id and the 21 typed columns of every sound line; an unchecked field that isn't of its type becomes null."""
+    """line_id, the 21 typed columns and too_large of every sound line; an unchecked field that isn't of its type becomes null.
+
+    too_large names the checked numbers that a bigint can't hold, which are null in their columns; it is empty otherwise.
+    """
     parsed = parse_lines(lines).where("reason is null")
-    return parsed.select(
+    typed = parsed.select(
         "line_id", *(_typed(F.element_at("fields", k + 1), kind).alias(name) for k, (name, kind) in enumerate(HIT_COLUMNS))
     )
+    return typed.withColumn("too_large", F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in ("q_size", "q_start", "q_end")))))

@@ -29,7 +29,7 @@ def number_hits(hits: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
 
 
 def _sweep(keys: list[str]):
-    """The sweep over hits that come sorted by (keys, i): each hit waits until its end or its best overlap rules out more."""
+    """The sweep over hits that come sorted by (keys, stretch, i): each hit waits until its end or its best overlap rules out more."""
     group = [*keys, "stretch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def candidate_pairs(numbered: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(numbered.dtypes)
     ddl = ", ".join(f"{c} {types[c]}" for c in [*keys, "stretch"]) + ", i int, j int, overlap bigint"
     rows = numbered.select(*keys, "stretch", "i", "q_start", "q_end", "t_species").where("q_start < q_end")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "i").mapInPandas(_sweep(keys), ddl)
+    return rows.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "i").mapInPandas(_sweep(keys), ddl)
 
 
 def judge_pair(pair: DataFrame, least: float = 1.0) -> DataFrame:

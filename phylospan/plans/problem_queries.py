@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = malformed.sound_hits(table(spark, sf_dir, "raw_psl_lines"))
+    hits = malformed.sound_hits(table(spark, sf_dir, "raw_psl_lines")).drop("too_large")
     lists = [name for name, kind in malformed.HIT_COLUMNS if kind.startswith("array")]
     return hits.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "?") for c in lists})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import clean_id, normalise_label
@@ -31,7 +31,7 @@ def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(genera.select("name", F.lit("root").alias("parent"), (F.length("name") * 10.0 + 100).alias("dist_root")))
         .unionByName(spark.range(1).select(F.lit("root").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(0.0).alias("dist_root")))
     )
-    return nodes.withColumn("order", F.row_number().over(Window.orderBy("name")))
+    return nodes.withColumn("order", F.col("name"))
 
 
 def close_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none and is local (tests).
+
+    On a cluster without that setting this is an error, since executors don't share a machine's own folders.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="phylospan-checkpoint-"))
     return context.getCheckpointDir()
 

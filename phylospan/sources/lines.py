@@ -62,10 +62,18 @@ def species_rows(lines: DataFrame, line: str = "line", order: str = "line_no", n
 
 
 def similarity_rows(lines: DataFrame, least: float = 95.0, line: str = "line") -> DataFrame:
-    """(q_id, t_id, ani) of a query search table with columns ANI at 2, names at 6 (query) and 5 (reference)."""
+    """(q_id, t_id, ani) of query search tables. Each file's header names the columns ANI, Query_name and Ref_name; a column that
+    it doesn't name is the third, seventh or sixth. Names are cut to their first word.
+    """
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(""))
     fields = F.split(F.col(line), "\t")
-    rows = lines.where(F.size(fields) >= 7).select(fields.getItem(2).try_cast("double").alias("ani"), first_token(fields.getItem(6)).alias("q_id"), first_token(fields.getItem(5)).alias("t_id"))
-    return rows.where(F.col("ani") >= least).select("q_id", "t_id", "ani")
+    at = lambda name, default: F.when(F.array_position("f", name) > 0, F.array_position("f", name)).otherwise(F.lit(default)).cast("int")
+    heads = lines.select("file", fields.alias("f")).where(F.array_contains("f", "ANI")).groupBy("file").agg(F.min(F.struct(at("ANI", 3).alias("a"), at("Query_name", 7).alias("q"), at("Ref_name", 6).alias("r"))).alias("h"))
+    rows = lines.select("file", fields.alias("f")).join(heads, "file", "left")
+    pick = lambda part, default: F.try_element_at("f", F.coalesce(F.col(f"h.{part}"), F.lit(default)))
+    rows = rows.select(pick("a", 3).try_cast("double").alias("ani"), first_token(pick("q", 7)).alias("q_id"), first_token(pick("r", 6)).alias("t_id"))
+    return rows.where((F.col("ani") >= least) & F.col("q_id").isNotNull() & F.col("t_id").isNotNull()).select("q_id", "t_id", "ani")
 
 
 def edge_rows(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -91,7 +99,8 @@ def report_labels(lines: DataFrame, file: str = "file", order: str = "line_no",
 
 
 def fasta_records(lines: DataFrame, line: str = "line", file: str = "file", order: str = "line_no") -> DataFrame:
-    """(file, seq_id, description, seq, length) of FASTA lines: each record's lines joined in order, white space dropped.
+    """(file, seq_id, description, seq, length) of FASTA lines of a table or a stream's batch: each record's lines joined in
+    order, white space dropped. Files are better read by read_fasta, which needs no order.
 
     Lines before a file's first '>' are ignored. The id is the header's first word.
     """
@@ -102,10 +111,35 @@ def fasta_records(lines: DataFrame, line: str = "line", file: str = "file", orde
         F.max(F.when(head, F.col(line))).alias("_head"), F.sort_array(F.collect_list(F.when(~head, F.struct(F.col(order).alias("o"), F.regexp_replace(F.trim(line), r"\s+", "").alias("s"))))).alias("_parts")
     )
     return parts.select(
-        file, F.coalesce(first_token(F.substring("_head", 2, 1 << 20)), F.lit("")).alias("seq_id"), F.trim(F.substring("_head", 2, 1 << 20)).alias("description"), F.array_join("_parts.s", "").alias("seq")
+        file, F.coalesce(first_token(F.expr("substring(_head, 2)")), F.lit("")).alias("seq_id"), F.trim(F.expr("substring(_head, 2)")).alias("description"), F.array_join("_parts.s", "").alias("seq")
     ).withColumn("length", F.length("seq"))
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, seq_id, description, seq, length) of FASTA files, a record a row; a file is split over tasks.
+
+    Records are cut at line feeds before '>', so no task needs a record's neighbours. `place` orders the records of all
+    files. White space within sequences is dropped. Text before a file's first '>' must be blank; otherwise it makes
+    a record with an empty id, which callers can look for.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_path").alias("file"))
+    first = F.startswith("value", F.lit(">"))
+    text = F.when(first, F.expr("substring(value, 2)")).otherwise(F.col("value"))
+    cut = F.locate("\n", F.col("_text"))
+    head = F.when(cut > 0, F.expr("substring(_text, 1, locate('\n', _text) - 1)")).otherwise(F.col("_text"))
+    rest = F.when(cut > 0, F.expr("substring(_text, locate('\n', _text) + 1)")).otherwise(F.lit(""))
+    rows = raw.where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "").withColumn("_text", text)
+    rows = rows.select("file", "place", strip_space(head).alias("description"), F.regexp_replace(rest, r"\s+", "").alias("seq"))
+    return rows.select("file", "place", F.coalesce(first_token(F.col("description")), F.lit("")).alias("seq_id"), "description", "seq").withColumn("length", F.length("seq"))
+
+
+def length_rows(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(seq_id, seq_length) of headerless lines 'id<tab>length'; lines without a whole number of base pairs are left out."""
+    fields = F.split(F.col(line), "\t")
+    rows = lines.where(F.size(fields) >= 2).select(F.trim(fields.getItem(0)).alias("seq_id"), F.trim(fields.getItem(1)).try_cast("bigint").alias("seq_length"))
+    return rows.where("seq_id <> '' and seq_length is not null")
+
+
 def count_fasta(lines: DataFrame, line: str = "line") -> DataFrame:
     """(n_records): lines that begin with '>'."""
     return lines.where(F.startswith(F.col(line), F.lit(">"))).agg(F.count(F.lit(1)).alias("n_records"))

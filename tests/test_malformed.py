@@ -78,5 +78,7 @@ def test_table(spark):
     assert set(hits) == {5, 8, 10} and hits[5].q_end == 58 and hits[5].block_sizes == [48]
     assert m.rejected_lines(df.where("false")).count() == 0 and m.sound_hits(df.where("false")).count() == 0
     assert m.sound_hits(frame(spark, [(1, "f", 9, line(f0="many", f18="1,x,"), None)])).first().asDict() | {} == m.sound_hits(frame(spark, [(1, "f", 9, line(f0="many", f18="1,x,"), None)])).first().asDict()
+    huge = m.sound_hits(frame(spark, [(1, "f", 9, line(f10="0" * 5000 + "99", f11="0" * 4500 + "7"), None), (2, "f", 9, line(f10="9" * 25), None)])).collect()
+    assert {(r.line_id, r.q_size, r.q_start, tuple(r.too_large)) for r in huge} == {(1, 99, 7, ()), (2, None, huge[1].q_start, ("q_size",))}
     odd = m.sound_hits(frame(spark, [(1, "f", 9, line(f0="many", f18="1,x,"), None)])).first()
     assert odd.n_match is None and odd.block_sizes == [1, None]

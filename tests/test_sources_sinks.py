@@ -96,19 +96,49 @@ def test_stage_is_reused(spark, tmp_path):
     assert len(calls) == 2 and stage_path("x", "s", {"a": 1}) != stage_path("x", "s", {"a": 2})
 
 
+def test_tree_over_several_lines_and_forest(spark):
+    """Lines in any order of rows, a label and its bracket on two lines, and two trees."""
+    text = ["((a:1,b:2)g:3,", "(d:4,e:1)", "h:1)r;", "(x:1,y:2)z;"]
+    lines = spark.createDataFrame([(t, (1 << 33) * (k // 2) + k, "f") for k, t in reversed(list(enumerate(text)))], "line string, line_no bigint, file string")
+    nodes = {r.name: (r.parent, r.dist_root) for r in newick.newick_nodes(lines).collect()}
+    assert nodes == {"r": (None, 0.0), "g": ("r", 3.0), "a": ("g", 4.0), "b": ("g", 5.0), "h": ("r", 1.0), "d": ("h", 5.0), "e": ("h", 2.0), "z": (None, 0.0), "x": ("z", 1.0), "y": ("z", 2.0)}
+
+
+def test_read_fasta_and_lengths(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a first one\nACGT\nAC GT\n>b\n>c x\r\nTT\r\nTT\r\n" + ">" + "h" * 2_000_000 + " long\nA\n")
+    (tmp_path / "b.fa").write_text("\n>d\nGG")
+    rows = {r.seq_id: r for r in src.read_fasta(spark, str(tmp_path)).collect()}
+    assert {k: (r.description, r.seq, r.length) for k, r in rows.items() if len(k) < 9} == {"a": ("a first one", "ACGTACGT", 8), "b": ("b", "", 0), "c": ("c x", "TTTT", 4), "d": ("d", "GG", 2)}
+    assert sorted(map(len, rows)) == [1, 1, 1, 1, 2_000_000] and rows["a"].place < rows["b"].place < rows["c"].place
+    lengths = src.length_rows(as_lines(spark, ["a\t12", "b\tx", "c", None, " d \t 7 "]))
+    assert {tuple(r) for r in lengths.collect()} == {("a", 12), ("d", 7)}
+    named = as_lines(spark, ["Ref_name\tQuery_name\tANI", "r1 x\tq1 y\t99", "r2\tq2\t90"])
+    assert {tuple(r) for r in src.similarity_rows(named).collect()} == {("q1", "r1", 99.0)}
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster(monkeypatch, spark):
+    from types import SimpleNamespace
+
+    from phylospan.session import ensure_checkpoint_dir
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(cluster)
+
+
 def test_tree_deeper_than_expected(spark):
-    """A ladder of 150 levels, each a branch of 1 with a leaf of 1."""
+    """A ladder of 1,000 levels, each a branch of 1 with a leaf of 1."""
     text = "'l0':1"
-    for k in range(1, 151):
+    for k in range(1, 1001):
         text = f"({text},'l{k}':1)n{k}:1"
     nodes = newick.newick_nodes(as_lines(spark, [f"{text.removesuffix(':1')};"]))
     dist = {r.name: r.dist_root for r in nodes.collect()}
-    assert (dist["'l0'"], dist["'l1'"], dist["'l150'"], dist["n1"], dist["n150"]) == (150.0, 150.0, 1.0, 149.0, 0.0)
+    assert (dist["'l0'"], dist["'l1'"], dist["'l1000'"], dist["n1"], dist["n1000"]) == (1000.0, 1000.0, 1.0, 999.0, 0.0)
     paths = lineage.ancestor_paths(nodes)
-    assert {r.n for r in paths.where("name = \"'l0'\"").selectExpr("size(path) AS n").collect()} == {151}
-    pairs = spark.createDataFrame([("'l0'", "'l150'"), ("'l0'", "'l1'"), ("'l0'", "'l100'")], "x string, y string")
+    assert {r.n for r in paths.where("name = \"'l0'\"").selectExpr("size(path) AS n").collect()} == {1001}
+    pairs = spark.createDataFrame([("'l0'", "'l1000'"), ("'l0'", "'l1'"), ("'l0'", "'l100'")], "x string, y string")
     got = {r.y: r.divergence for r in lineage.pair_divergence(pairs, paths, "x", "y").collect()}
-    assert got == {"'l150'": 75.5, "'l1'": 1.0, "'l100'": 50.5}
+    assert got == {"'l1000'": 500.5, "'l1'": 1.0, "'l100'": 50.5}
     circle = spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0)], "name string, parent string, dist_root double")
     with pytest.raises(ValueError):
         lineage.ancestor_paths(circle, 4)
