@@ -1,7 +1,7 @@
 """Command line: python -m phylospan.cli run|refilter|build-database ...
 
 run             hit lines (PSL) of a query, a reference database and settings -> tables and tab-separated files
-refilter        a table of overlap pairs -> regions and summary, with other thresholds
+refilter        a table of overlap pairs or of filtered hits -> regions and summary, with other thresholds
 build-database  FASTA, species file and Newick tree -> index, sketches, close pairs, heavy seeds, file grouping
 """
 
@@ -47,21 +47,27 @@ def run(args: argparse.Namespace) -> None:
     close = src.similarity_rows(src.read_lines(spark, args.close_refs)) if args.close_refs else empty
     close_refs = close.select(F.col("q_id").alias("q_name"), F.col("t_id").alias("t_name"))
     out = pipeline.run_query(spark, f"{settings.output}/stages", hits, runs, database, close_refs, as_header(settings) | {"hits": args.hits, "close_refs": args.close_refs})
-    for name in ("pairs", "regions", "summary"):
+    out |= {"hits": hits, "species": named}
+    for name in ("hits", "species", "first_div", "pairs", "regions", "summary"):
         tsv.write_tsv(out[name].drop("region", "stretch"), f"{settings.output}/{name}", tsv.config_header(as_header(settings)))
 
 
 def refilter(args: argparse.Namespace) -> None:
     spark = _session()
     settings = spark.range(1).select(F.lit(1).cast("bigint").alias("run_id"), F.lit(args.chunk).cast("bigint").alias("chunk_bp"), F.lit(args.size_filter).alias("least"), F.lit(args.cluster).alias("gap"))
-    out = pipeline.refilter(spark.read.parquet(args.pairs).withColumn("run_id", F.lit(1).cast("bigint")), settings, spark.read.parquet(args.index))
+    if args.tsv:
+        pairs = src.named_table(spark, args.pairs, required=("chunk_idx", "q_name", "q_size", "q_start", "q_end", "q_species", "t_name", "t_start", "t_end", "divergence"))
+        pairs = pairs.withColumns({c: F.col(c).try_cast("bigint") for c in ("chunk_idx", "q_size", "q_start", "q_end")})
+    else:
+        pairs = spark.read.parquet(args.pairs)
+    out = pipeline.refilter(pairs.withColumn("run_id", F.lit(1).cast("bigint")), settings, spark.read.parquet(args.index))
     for name, df in out.items():
         tsv.write_tsv(df.drop("region"), f"{args.output}/{name}")
 
 
 def build_database(args: argparse.Namespace) -> None:
     spark = _session()
-    records = src.fasta_records(src.read_lines(spark, args.fasta)).withColumn("record_no", F.monotonically_increasing_id())
+    records = src.read_fasta(spark, args.fasta).withColumnRenamed("place", "record_no")
     species = src.species_rows(src.read_lines(spark, args.species), normalise=False)
     built = pipeline.build_database(records.select("seq_id", "record_no", "seq"), species, newick.newick_nodes(src.read_lines(spark, args.tree)), args.max_bp)
     for name, df in built.items():
@@ -70,7 +76,7 @@ def build_database(args: argparse.Namespace) -> None:
 
 def split_chunks(args: argparse.Namespace) -> None:
     spark = _session()
-    records = src.fasta_records(src.read_lines(spark, args.fasta))
+    records = src.read_fasta(spark, args.fasta)
     chunked = chunks.explode_chunks(records, args.chunk).select(F.concat_ws("_", F.lit("chunk"), F.col("chunk_idx").cast("string"), "seq_id").alias("seq_id"), F.lit("").alias("description"), F.col("chunk_seq").alias("seq"))
     tsv.fasta_lines(chunked).write.mode("overwrite").text(args.output)
 
@@ -87,6 +93,7 @@ def parser() -> argparse.ArgumentParser:
     two = commands.add_parser("refilter")
     for name in ("pairs", "index", "output"):
         two.add_argument(name)
+    two.add_argument("--tsv", action="store_true", help="the pairs (or the first_div table) are tab-separated text with a header")
     two.add_argument("--size-filter", type=int, default=0)
     two.add_argument("--cluster", type=int, default=0)
     two.add_argument("--chunk", type=int, default=100_000)

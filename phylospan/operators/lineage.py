@@ -25,6 +25,26 @@ def reached_root(nodes: DataFrame, reach: int) -> bool:
     return False
 
 
+def root_distances(edges: DataFrame, expected: int = 64) -> DataFrame:
+    """edges (name, parent, branch and others) with dist_root, the sum of the branches up to the root, and depth, their number.
+
+    Pointer jumping: each step doubles the reach, with a row a node, until all nodes have reached a root; from `expected`
+    levels on each step is looked at. A parent that is no name ends a path like a root.
+    """
+    nodes = edges.withColumns({"dist_root": F.col("branch"), "depth": F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint"), "_next": F.col("parent")})
+    reach = 1
+    while True:
+        if reach >= expected or reach in (4, 16, 64, 256):
+            nodes = materialise(nodes)  # each doubling reads the plan twice
+        if reach >= expected and reached_root(nodes.withColumn("next", F.col("_next")), reach):
+            return nodes.drop("_next")
+        further = nodes.select(F.col("name").alias("_next"), F.col("dist_root").alias("_more"), F.col("depth").alias("_deeper"), F.col("_next").alias("_after"))
+        nodes = nodes.join(further, "_next", "left").withColumns({
+            "dist_root": F.col("dist_root") + F.coalesce("_more", F.lit(0.0)), "depth": F.col("depth") + F.coalesce("_deeper", F.lit(0)), "_next": F.col("_after"),
+        }).drop("_more", "_deeper", "_after")
+        reach *= 2
+
+
 def ancestor_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(name, path): each node's names and root distances from itself up to the root.
 

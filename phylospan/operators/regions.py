@@ -86,10 +86,12 @@ def summarise(members: DataFrame, index: DataFrame, keys: list[str], order: list
 
 
 def joined_members(members: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
-    """One row a region with each of `columns` joined by | in row order; a null becomes an empty piece."""
+    """One row a region with q_size and q_species of its first row, and each of `columns` joined by | in row order; a null
+    becomes an empty piece."""
     columns = columns or [c for c in META if c in members.columns]
-    entry = F.struct(*order, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"m_{c}") for c in columns))
+    entry = F.struct(*order, F.col("q_size").alias("m_q_size"), F.col("q_species").alias("m_q_species"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"m_{c}") for c in columns))
     rows = members.groupBy(*keys, "region").agg(
         F.first("region_start").alias("q_start"), F.first("region_end").alias("q_end"), F.sort_array(F.collect_list(entry)).alias("members")
     )
-    return rows.select(*keys, "q_start", "q_end", *(F.array_join(F.col(f"members.m_{c}"), "|").alias(c) for c in columns))
+    of_first = [F.col("members")[0][f"m_{c}"].alias(c) for c in ("q_size", "q_species")]
+    return rows.select(*keys, "q_start", "q_end", *of_first, *(F.array_join(F.col(f"members.m_{c}"), "|").alias(c) for c in columns))

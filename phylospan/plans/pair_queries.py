@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import clean_id
-from phylospan.operators import chunks, islands, lineage, pairing, reference, regions
+from phylospan.operators import chunks, islands, lineage, pairing, regions
+from phylospan.plans import pipeline
 from phylospan.plans import views as v
 from phylospan.session import materialise, table
 
@@ -43,15 +44,13 @@ def q14_pruned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.candidate_pairs(_numbered(spark, sf_dir), v.GROUP).drop("stretch")
 
 
+def _reference(spark: SparkSession, sf_dir: str) -> pipeline.Reference:
+    return pipeline.Reference(table(spark, sf_dir, "ref_index"), v.lineage_nodes(spark, sf_dir), v.close_pairs(spark, sf_dir))
+
+
 def _judged(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:
-    index = table(spark, sf_dir, "ref_index")
-    named = reference.with_reference(numbered, index)
-    side = lambda p, k: named.select(*v.GROUP, F.col("i").alias(k), *(F.col(c).alias(f"{p}_{a}") for c, a in (("q_start", "q_start"), ("q_end", "q_end"), ("t_species", "t_species"), ("t_name", "t_name"), ("ref_length", "ref_length"), ("ref_leaf", "leaf"))))
-    pairs = pairing.candidate_pairs(numbered, v.GROUP).join(side("l", "i"), [*v.GROUP, "i"]).join(side("r", "j"), [*v.GROUP, "j"])
-    paths = lineage.ancestor_paths(v.lineage_nodes(spark, sf_dir), max_depth=4)
-    known = lineage.pair_divergence(pairs, paths, "l_leaf", "r_leaf")
-    close = reference.lookup_pair(known, v.close_pairs(spark, sf_dir), "l_t_name", "r_t_name").withColumn("in_close", F.col("ani").isNotNull())
-    return pairing.judge_pair(close)
+    ref = _reference(spark, sf_dir)
+    return pipeline.judge_candidates(numbered, ref, lineage.ancestor_paths(ref.nodes, max_depth=4), v.GROUP)
 
 
 def q15_pair_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,19 +113,13 @@ def q22_region_members_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.joined_members(_members(spark, sf_dir), KEYS, ORDER, ["t_name", "pct_identity", "t_species", "divergence_time", "ref_ani_lt_95"])
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits to region summaries in one plan: islands, matching, offsets, regions of more than one lineage."""
-    numbered = _numbered(spark, sf_dir)
-    pairs = pairing.overlap_pairs(numbered, _matches(spark, sf_dir, numbered), v.GROUP)
-    runs = table(spark, sf_dir, "run_log").select("run_id", "chunk_bp", F.coalesce("size_filter", F.lit(150)).alias("least"), F.coalesce("cluster_size", F.lit(0)).alias("gap"))
-    placed = chunks.restore_offsets(pairs.join(runs, "run_id"), "chunk_bp").withColumnRenamed("divergence", "divergence_time")
-    order = ["q_start", "q_end", "t_name", "t_start", "t_end"]
-    members = regions.process(placed, KEYS, "least", "gap")
-    return regions.summarise(members, table(spark, sf_dir, "ref_index"), KEYS, order).drop("region", "q_size", "q_species", "mean_divergence")
-
-
 def q43_pipeline_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline(spark, sf_dir)
+    """Filtered hits to region summaries: islands, matching, offsets, regions of more than one lineage."""
+    ref = _reference(spark, sf_dir)
+    settings = table(spark, sf_dir, "run_log").select("run_id", "chunk_bp", F.coalesce("size_filter", F.lit(150)).alias("least"), F.coalesce("cluster_size", F.lit(0)).alias("gap"))
+    hits = v.hits(spark, sf_dir).drop("ani_lt_95")
+    out = pipeline.regions_of_hits(hits, settings, ref, lineage.ancestor_paths(ref.nodes, max_depth=4), lambda name, build: materialise(build()))
+    return out["summary"].drop("region", "mean_divergence")
 
 
 _G = ", ".join(v.GROUP)
@@ -192,7 +185,7 @@ matched AS (
   SELECT f.run_id, f.chunk_idx, f.q_name, f.i, f.j, f.overlap, r.d AS ref_divergence FROM fold f
   JOIN ranked r ON r.run_id = f.run_id AND r.chunk_idx = f.chunk_idx AND r.q_name = f.q_name AND r.k = f.k WHERE f.free),
 pairs_ AS (
-  SELECT m.run_id, m.chunk_idx, m.q_name, greatest(l.q_start, r.q_start) AS q_start, least(l.q_end, r.q_end) AS q_end, l.q_species,
+  SELECT m.run_id, m.chunk_idx, m.q_name, greatest(l.q_start, r.q_start) AS q_start, least(l.q_end, r.q_end) AS q_end, l.q_size, l.q_species,
     coalesce(l.t_name, 'NA') || ',' || coalesce(r.t_name, 'NA') AS t_name, l.t_species || ',' || r.t_species AS t_species,
     l.t_start || ',' || r.t_start AS t_start, l.t_end || ',' || r.t_end AS t_end, ref_divergence
   FROM matched m
@@ -256,12 +249,14 @@ FROM base b JOIN leaf_n l ON b.run_id = l.run_id AND b.q_name = l.q_name AND b.r
 LEFT JOIN means m ON b.run_id = m.run_id AND b.q_name = m.q_name AND b.region = m.region WHERE n_species >= 2""",
     "q22_region_members_joined": f"""{_REGIONS}
 SELECT run_id, q_name, min(region_start) AS q_start, max(region_end) AS q_end,
+  first(q_size ORDER BY q_start, q_end, ord) AS q_size, first(q_species ORDER BY q_start, q_end, ord) AS q_species,
   {', '.join(f"string_agg(coalesce({c}, ''), '|' ORDER BY q_start, q_end, ord) AS {c}" for c in ('t_name', 'pct_identity', 't_species', 'divergence_time', 'ref_ani_lt_95'))}
 FROM members GROUP BY run_id, q_name, region""",
     "q43_pipeline_regions": f"""{_CHAIN}, {_regions_sql('''
-SELECT p.run_id, p.q_name, p.q_start + p.chunk_idx * r.chunk_bp AS q_start, p.q_end + p.chunk_idx * r.chunk_bp AS q_end, p.t_name, p.t_name AS ord,
+SELECT p.run_id, p.q_name, p.q_start + p.chunk_idx * r.chunk_bp AS q_start, p.q_end + p.chunk_idx * r.chunk_bp AS q_end, p.t_name, p.q_size, p.q_species, p.t_start, p.t_end, p.t_name AS ord,
   coalesce(r.size_filter, 150) AS least, coalesce(r.cluster_size, 0) AS gap FROM pairs_ p JOIN run_log r ON p.run_id = r.run_id''')}, {_SPECIES}
-SELECT m.run_id, m.q_name, min(region_start) AS q_start, max(region_end) AS q_end, count(*) AS n_pairs, max(n_species) AS n_species
+SELECT m.run_id, m.q_name, min(region_start) AS q_start, max(region_end) AS q_end, count(*) AS n_pairs, max(n_species) AS n_species,
+  first(m.q_size ORDER BY m.q_start, m.q_end, m.t_name, m.t_start, m.t_end) AS q_size, first(m.q_species ORDER BY m.q_start, m.q_end, m.t_name, m.t_start, m.t_end) AS q_species
 FROM members m JOIN leaf_n l ON m.run_id = l.run_id AND m.q_name = l.q_name AND m.region = l.region WHERE n_species >= 2 GROUP BY m.run_id, m.q_name, m.region""",
 }
 

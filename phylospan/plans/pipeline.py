@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ GROUP = ["run_id", "chunk_idx", "q_name"]
 TIE = ["emit_key", "t_name", "t_start", "t_end", "t_size", "q_size", "q_species", "t_species", "divergence"]
 
 
+CARRIED = ["q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end", "pct_identity", "q_species", "t_species", "divergence", "ani_lt_95"]
+
+
 @dataclass(frozen=True)
 class Reference:
     """A reference database: the index, ancestor paths and preorder of its tree, and its pairs of similar sequences."""
@@ -52,9 +56,13 @@ def run_query(spark: SparkSession, folder: str, hits: DataFrame, runs: DataFrame
 
     paths = materialise(lineage.ancestor_paths(ref.nodes, max_depth))
     filtered = keep("first_div", first_div)
-    carried = ["q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end", "pct_identity", "q_species", "t_species", "divergence", "ani_lt_95"]
-    labelled = filtered.withColumn("t_species", F.col("ref_species"))
-    numbered = keep("islands", lambda: pairing.number_hits(islands.merge_islands(labelled, GROUP, carried), GROUP, TIE))
+    return {"first_div": filtered} | regions_of_hits(filtered.withColumn("t_species", F.col("ref_species")), settings, ref, paths, keep)
+
+
+def regions_of_hits(hits: DataFrame, settings: DataFrame, ref: Reference, paths: DataFrame, keep: Callable[[str, Callable[[], DataFrame]], DataFrame]) -> dict[str, DataFrame]:
+    """islands, pairs, regions and summary of hits that have passed the filter; `keep` stores a stage's table and gives it back."""
+    carried = [c for c in CARRIED if c in hits.columns]
+    numbered = keep("islands", lambda: pairing.number_hits(islands.merge_islands(hits, GROUP, carried), GROUP, TIE))
     judged = keep("judged", lambda: judge_candidates(numbered, ref, paths, GROUP).where("accepted").select(*GROUP, "stretch", "i", "j", "overlap", F.col("divergence").alias("ref_divergence"), "ref_ani_lt_95"))
 
     def pairs() -> DataFrame:
@@ -62,11 +70,11 @@ def run_query(spark: SparkSession, folder: str, hits: DataFrame, runs: DataFrame
         return pairing.overlap_pairs(numbered, matched, GROUP)
 
     matched = keep("pairs", pairs)
-    return {"first_div": filtered, "islands": numbered, "pairs": matched} | refilter(matched, settings, ref.index)
+    return {"islands": numbered, "pairs": matched} | refilter(matched, settings, ref.index)
 
 
 def refilter(pairs: DataFrame, settings: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
-    """regions and summary of overlap pairs with local coordinates; settings: run_id, chunk_bp, least, gap."""
+    """regions and summary of overlap pairs, or of filtered hits, with local coordinates; settings: run_id, chunk_bp, least, gap."""
     keys, order = ["run_id", "q_name"], ["q_start", "q_end", "t_name", "t_start", "t_end"]
     placed = chunks.restore_offsets(pairs.join(settings.select("run_id", "chunk_bp", "least", "gap"), "run_id"), "chunk_bp").withColumnRenamed("divergence", "divergence_time")
     members = regions.process(placed.where("q_start is not null and q_start < q_end"), keys, "least", "gap")

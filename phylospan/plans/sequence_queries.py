@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import clean_id
-from phylospan.operators import chunks, islands, kmers, next_fit, reference, regions
+from phylospan.operators import chunks, islands, kmers, lineage, next_fit, reference, regions
 from phylospan.plans import views as v
-from phylospan.session import materialise, table
+from phylospan.session import ensure_checkpoint_dir, materialise, table
 from phylospan.sinks import tsv
 from phylospan.sources import lines as src
 
@@ -174,6 +175,37 @@ def q37_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.unionByName(usable).unionByName(queries).unionByName(pairs)
 
 
+def q51_deep_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth of each revision below its page's first one: a tree of hundreds of levels."""
+    pages = table(spark, sf_dir, "documents").groupBy(F.col("doc_id").alias("name")).agg(F.max("parent_doc_id").alias("parent"))
+    known = pages.select(F.col("name").alias("parent"), F.lit(True).alias("known"))
+    edges = pages.join(known, "parent", "left").select("name", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    return lineage.root_distances(edges.withColumn("branch", F.when(F.col("parent").isNotNull(), 1.0).otherwise(0.0))).select("name", "parent", "depth", "dist_root")
+
+
+def q52_fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as FASTA text to the shared folder and read back by records."""
+    letters = F.regexp_replace("text", r"[\s>]+", "")
+    records = _documents(spark, sf_dir).where("text is not null").select(F.col("doc_id").cast("string").alias("seq_id"), F.lit("of the corpus").alias("description"), letters.alias("seq"))
+    path = f"{ensure_checkpoint_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    tsv.fasta_lines(records).write.text(path)
+    back = src.read_fasta(spark, path)
+    return back.select("seq_id", "description", F.col("length").cast("bigint").alias("length"), F.md5("seq").alias("digest"))
+
+
+def q53_length_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "seq_lengths").select(F.concat_ws("\t", "seq_id", F.coalesce(F.col("seq_length").cast("string"), F.lit("NA"))).alias("line"))
+    return src.length_rows(rows).groupBy("seq_id").agg(F.max("seq_length").alias("seq_length"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def q54_similarity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search tables with named columns, one file a run, made of the pairs' identities."""
+    hits = table(spark, sf_dir, "first_div_output").where("t_name is not null and q_name is not null and pct_identity is not null")
+    body = hits.select(F.col("run_id").alias("file"), F.concat_ws("\t", F.concat("t_name", F.lit(" ref")), F.col("pct_identity").cast("decimal(20,3)").cast("string"), F.regexp_replace("q_name", r"\s", "")).alias("line"))
+    heads = hits.select(F.col("run_id").alias("file")).distinct().withColumn("line", F.lit("Ref_name\tANI\tQuery_name"))
+    return src.similarity_rows(body.unionByName(heads), 97.0).groupBy("q_id", "t_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q38_event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
     return islands.sessions(events, ["user_id"], "second", 1800).drop("session")
@@ -294,6 +326,19 @@ WITH e AS (SELECT user_id, floor(epoch(ts))::bigint AS t FROM events),
 l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM e),
 s AS (SELECT *, sum(CASE WHEN t - b <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n_rows FROM s GROUP BY user_id, k""",
+    "q51_deep_lineage": """
+WITH RECURSIVE pages AS (SELECT doc_id AS name, max(parent_doc_id) AS p FROM documents GROUP BY 1),
+e AS (SELECT a.name, b.name AS parent FROM pages a LEFT JOIN pages b ON a.p = b.name),
+t AS (SELECT name, parent, 0::bigint AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.name, e.parent, t.depth + 1 FROM t JOIN e ON e.parent = t.name)
+SELECT name, parent, depth, depth::double AS dist_root FROM t""",
+    "q52_fasta_roundtrip": r"""
+SELECT doc_id::varchar AS seq_id, doc_id::varchar || ' of the corpus' AS description, length(s)::bigint AS length, md5(s) AS digest
+FROM (SELECT doc_id, regexp_replace(text, '[\s>]+', '', 'g') AS s FROM documents WHERE text IS NOT NULL)""",
+    "q53_length_lines": "SELECT seq_id, max(seq_length) AS seq_length, count(*) AS n_rows FROM seq_lengths WHERE seq_length IS NOT NULL AND seq_id <> '' GROUP BY 1",
+    "q54_similarity_lines": r"""
+SELECT q_id, t_id, count(*) AS n_rows FROM (
+  SELECT regexp_replace(q_name, '\s', '', 'g') AS q_id, t_name AS t_id, pct_identity FROM first_div_output WHERE t_name IS NOT NULL AND q_name IS NOT NULL AND pct_identity IS NOT NULL)
+WHERE pct_identity::decimal(20,3) >= 97 AND q_id <> '' GROUP BY 1, 2""",
     "q39_tsv_roundtrip": f"WITH {v.HITS_SQL} SELECT hit_id, q_name, q_start, q_end, t_name, divergence, CASE WHEN ani_lt_95 THEN 'True' WHEN NOT ani_lt_95 THEN 'False' END AS ani_lt_95 FROM hits",
     "q45_build_regions": f"""WITH {v.HITS_SQL},
 r AS (SELECT run_id, chunk_idx, q_name, q_start, q_end, max(q_end) OVER (PARTITION BY run_id, chunk_idx, q_name ORDER BY q_start, q_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM hits),

@@ -50,6 +50,23 @@ def tsv_rows(lines: DataFrame, columns: list[str], numeric: str | None = None, l
     return out.where(is_digits(F.col(numeric))) if numeric else out
 
 
+def named_table(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """String columns of tab-separated files whose '#' header names them; NA is null. A missing required column is an error.
+
+    The header is the '#' line that holds tabs; files whose headers differ are an error.
+    """
+    text = spark.read.text(path)
+    heads = [r[0] for r in text.where("startswith(value, '#') and contains(value, '\t')").distinct().limit(2).collect()]
+    if len(heads) != 1:
+        raise ValueError(f"{path} needs one and the same header line in all files")
+    columns = heads[0].lstrip("#").split("\t")
+    missing = [c for c in required if c not in columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    rows = tsv_rows(text, columns, line="value")
+    return rows.select(*(F.nullif(F.col(c), F.lit("NA")).alias(c) for c in columns))
+
+
 def species_rows(lines: DataFrame, line: str = "line", order: str = "line_no", normalise: bool = True) -> DataFrame:
     """(seq_id, species): blank and '#' lines skipped, a line without a label or with a word for none is unclassified
     (normalise=False keeps words and drops lines without a label), the last line of an id wins."""

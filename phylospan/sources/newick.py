@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phylospan.operators.lineage import reached_root
+from phylospan.operators.lineage import root_distances
 from phylospan.operators.periods import assign_periods
 from phylospan.session import materialise
 
@@ -65,13 +65,5 @@ def newick_nodes(trees: DataFrame, text: str = "line", max_depth: int = 64) -> D
 
     max_depth is the expected depth; deeper trees take further steps until all nodes have reached the root.
     """
-    nodes = materialise(newick_edges(trees, text)).select("name", "parent", F.col("branch").alias("dist_root"), F.col("parent").alias("next"), F.col("pos").alias("order"))
-    reach = 1
-    while True:
-        if reach >= max_depth or reach in (4, 16, 64, 256):
-            nodes = materialise(nodes)  # each doubling reads the plan twice
-        if reach >= max_depth and reached_root(nodes, reach):
-            return nodes.select("name", "parent", "dist_root", "order")
-        further = nodes.select(F.col("name").alias("next"), F.col("dist_root").alias("more"), F.col("next").alias("after"))
-        nodes = nodes.join(further, "next", "left").select("name", "parent", (F.col("dist_root") + F.coalesce("more", F.lit(0.0))).alias("dist_root"), F.col("after").alias("next"), "order")
-        reach *= 2
+    nodes = root_distances(materialise(newick_edges(trees, text)), max_depth)
+    return nodes.select("name", "parent", "dist_root", F.col("pos").alias("order"))

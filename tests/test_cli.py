@@ -30,6 +30,17 @@ def test_build_run_refilter(spark, tmp_path):
     assert len([r for r in spark.read.text(str(tmp_path / "again/summary")).collect() if not r.value.startswith("#")]) == 1
 
 
+    first = {tuple(r) for r in spark.read.parquet(str(next((out / "stages").glob("first_div-*")))).select("q_name", "t_name").collect()}
+    table = [r.value for r in spark.read.text(str(out / "first_div")).collect() if not r.value.startswith("#")]
+    assert len(table) == 4 and {t for _, t in first} == {"r1", "r2"} and len(spark.read.text(str(out / "species")).where("not startswith(value, '#')").collect()) == 1
+    for name, extra in (("pairs", ["--size-filter", "260"]), ("first_div", [])):
+        cli.main(["refilter", str(out / name), str(tmp_path / "db/ref_index.parquet"), str(tmp_path / f"tsv_{name}"), "--tsv", "--chunk", "1000", *extra])
+        lines = [r.value for r in spark.read.text(str(tmp_path / f"tsv_{name}/regions")).collect()]
+        head = next(x for x in lines if x.startswith("#run_id")).lstrip("#").split("\t")
+        rows = [dict(zip(head, x.split("\t"))) for x in lines if not x.startswith("#")]
+        assert {(r["q_name"], r["q_species"], r["q_size"]) for r in rows} == {("q1", "Qqq rrr", "1000")} and len(rows) == (1 if extra else 2)
+
+
 def test_split_chunks(spark, tmp_path):
     (tmp_path / "q.fa").write_text(">'q1' some\n" + "A" * 250 + "\n")
     cli.main(["split-chunks", str(tmp_path / "q.fa"), str(tmp_path / "chunks"), "--chunk", "100"])
