@@ -32,7 +32,7 @@ def test_build_run_refilter(spark, tmp_path):
 
     first = {tuple(r) for r in spark.read.parquet(str(next((out / "stages").glob("first_div-*")))).select("q_name", "t_name").collect()}
     table = [r.value for r in spark.read.text(str(out / "first_div")).collect() if not r.value.startswith("#")]
-    assert len(table) == 4 and {t for _, t in first} == {"r1", "r2"} and len(spark.read.text(str(out / "species")).where("not startswith(value, '#')").collect()) == 1
+    assert len(table) == 5 and {t for _, t in first} == {"r1", "r2", "r3"} and len(spark.read.text(str(out / "species")).where("not startswith(value, '#')").collect()) == 1
     for name, extra in (("pairs", ["--size-filter", "260"]), ("first_div", [])):
         cli.main(["refilter", str(out / name), str(tmp_path / "db/ref_index.parquet"), str(tmp_path / f"tsv_{name}"), "--tsv", "--chunk", "1000", *extra])
         lines = [r.value for r in spark.read.text(str(tmp_path / f"tsv_{name}/regions")).collect()]
