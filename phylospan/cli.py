@@ -2,6 +2,7 @@
 
 run             hit lines (PSL) of a query, a reference database and settings -> tables and tab-separated files
 refilter        a table of overlap pairs or of filtered hits -> regions and summary, with other thresholds
+align           FASTA queries against FASTA references -> hit lines, both strands, without gaps
 build-database  FASTA, species file and Newick tree -> index, sketches, close pairs, heavy seeds, file grouping
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.config import as_header, merge_settings, parse_settings_file
-from phylospan.operators import chunks, reference
+from phylospan.operators import chunks, kmers, reference
 from phylospan.plans import pipeline
 from phylospan.session import ensure_checkpoint_dir, ship_package
 from phylospan.sinks import tsv
@@ -74,6 +75,20 @@ def build_database(args: argparse.Namespace) -> None:
         df.write.mode("overwrite").parquet(f"{args.output}/{'ref_index' if name == 'index' else name}.parquet")
 
 
+def align(args: argparse.Namespace) -> None:
+    """Native hits of two FASTA inputs on both strands, as lines of a hit table; the query may be cut into chunks first."""
+    spark = _session()
+    queries, references = (src.read_fasta(spark, p).select("seq_id", "seq") for p in (args.query, args.reference))
+    hits = kmers.align(queries, references, least_score=args.min_score)
+    zero, block = F.lit(0), lambda c: F.concat(c.cast("string"), F.lit(","))
+    length = F.col("q_end") - F.col("q_start")
+    line = F.concat_ws(
+        "\t", "n_match", "n_mismatch", zero, zero, zero, zero, zero, zero, "strand", "q_name", "q_size", "q_start", "q_end", "t_name", "t_size", "t_start", "t_end",
+        F.lit(1), block(length), block(F.when(F.col("strand") == "+", F.col("q_start")).otherwise(F.col("q_size") - F.col("q_end"))), block(F.col("t_start")),
+    )
+    hits.select(line.alias("line")).write.mode("overwrite").text(args.output)
+
+
 def split_chunks(args: argparse.Namespace) -> None:
     spark = _session()
     records = src.read_fasta(spark, args.fasta)
@@ -101,6 +116,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("fasta", "species", "tree", "output"):
         three.add_argument(name)
     three.add_argument("--max-bp", type=int, default=1_000_000_000)
+    five = commands.add_parser("align")
+    for name in ("query", "reference", "output"):
+        five.add_argument(name)
+    five.add_argument("--min-score", type=int, default=30)
     four = commands.add_parser("split-chunks")
     four.add_argument("fasta")
     four.add_argument("output")
@@ -110,7 +129,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    {"run": run, "refilter": refilter, "build-database": build_database, "split-chunks": split_chunks}[args.command](args)
+    {"run": run, "refilter": refilter, "build-database": build_database, "split-chunks": split_chunks, "align": align}[args.command](args)
 
 
 if __name__ == "__main__":

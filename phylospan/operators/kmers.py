@@ -6,7 +6,7 @@ extend, bottom-k sketches, k-mer votes); approximations, not the external progra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospan.operators.islands import number_islands
@@ -41,9 +41,29 @@ def seed_counts(table: DataFrame) -> DataFrame:
     return table.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
 
 
-def heavy_seeds(table: DataFrame, above: int) -> DataFrame:
-    """Seeds that occur more than `above` times; they are left out of seed joins, which also takes away their skew."""
-    return seed_counts(table).where(F.col("n") > above)
+def number_of_seeds(sequences: DataFrame, k: int, seq: str) -> int:
+    """How many seeds there are at a step of 1, from the lengths alone."""
+    return sequences.select(F.sum(F.greatest(F.length(seq) - (k - 1), F.lit(0)).cast("bigint"))).first()[0] or 0
+
+
+def heavy_seeds(table: DataFrame, above: int, expected: int | None = None) -> DataFrame:
+    """(seed, n) of seeds that occur more than `above` times; they are left out of seed joins, which also takes away their skew.
+
+    Nearly all seeds of a corpus occur once. So hash buckets are counted first, about four for each `above` of the
+    `expected` seeds (counted when not given), and only seeds of buckets above the limit are shuffled and counted exactly.
+    """
+    expected = table.count() if expected is None else expected
+    buckets = 1 << max(8, (4 * expected // max(1, above)).bit_length())
+    placed = table.select("seed", F.pmod(F.xxhash64("seed"), F.lit(buckets)).alias("_bucket"))
+    full = materialise(placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > above).select("_bucket"))
+    return seed_counts(placed.join(full, "_bucket", "left_semi")).where(F.col("n") > above)
+
+
+def seeds_among(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a seed table whose seed occurs in another, smaller one: by hash first, so that long strings aren't compared."""
+    hashes = materialise(wanted.select(F.xxhash64("seed").alias("_h")).distinct())
+    near = table.withColumn("_h", F.xxhash64("seed")).join(hashes, "_h", "left_semi").drop("_h")
+    return near.join(wanted.select("seed").distinct(), "seed", "left_semi").select("seq_id", "pos", "seed")
 
 
 def seed_hits(queries: DataFrame, references: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
@@ -92,11 +112,44 @@ def score_islands(islands: DataFrame, queries: DataFrame, references: DataFrame,
     return both.withColumn("n_match", same).withColumn("n_mismatch", length - F.col("n_match")).drop("_q", "_t")
 
 
+def reverse_complement(seq: str) -> Column:
+    """The other strand of a nucleotide text; letters other than A, C, G, T and U stay as they are."""
+    return F.translate(F.reverse(F.col(seq)), "ACGTUacgtu", "TGCAAtgcaa")
+
+
+def align(queries: DataFrame, references: DataFrame, k: int = 11, gap: int = 8, least_score: int = 30) -> DataFrame:
+    """Ungapped hits of sequences (seq_id, seq) on both strands, with the columns of a hit table.
+
+    Every seed counts. A hit is a run of seeds on one diagonal at most `gap` apart, compared letter by letter; its score
+    is its matches less its mismatches. Positions of the query are those of its given strand, as hit tables have them.
+    Gaps within a hit aren't bridged: an insertion makes two hits.
+    """
+    targets = seeds(references, k, "seq_id", "seq")
+    out = None
+    for strand in ("+", "-"):
+        texts = queries.select("seq_id", (F.col("seq") if strand == "+" else reverse_complement("seq")).alias("seq"))
+        found = diagonal_islands(every_seed_hit(seeds(texts, k, "seq_id", "seq"), targets), k, gap)
+        hits = score_islands(found, texts, references, ("seq_id", "seq"), ("seq_id", "seq")).withColumn("strand", F.lit(strand))
+        out = hits if out is None else out.unionByName(hits)
+    sizes = lambda df, key, name: df.select(F.col("seq_id").alias(key), F.length("seq").cast("bigint").alias(name))
+    sized = out.where(F.col("n_match") - F.col("n_mismatch") >= least_score).join(sizes(queries, "q_id", "q_size"), "q_id").join(sizes(references, "t_id", "t_size"), "t_id")
+    forward = F.col("strand") == "+"
+    return sized.select(
+        "n_match", "n_mismatch", "strand", F.col("q_id").alias("q_name"), "q_size",
+        F.when(forward, F.col("q_start")).otherwise(F.col("q_size") - F.col("q_end")).cast("bigint").alias("q_start"),
+        F.when(forward, F.col("q_end")).otherwise(F.col("q_size") - F.col("q_start")).cast("bigint").alias("q_end"),
+        F.col("t_id").alias("t_name"), "t_size", F.col("t_start").cast("bigint").alias("t_start"), F.col("t_end").cast("bigint").alias("t_end"),
+    )
+
+
 def sketches(table: DataFrame, size: int) -> DataFrame:
     """(seq_id, h): the `size` smallest distinct seed hashes of each sequence. The hash is of the seed alone."""
     hashed = table.select("seq_id", F.xxhash64("seed").alias("h")).distinct()
-    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy("h"))
-    return hashed.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    # Within parts of a sequence first, so that a long one isn't sorted in one task; then its parts' smallest.
+    first = F.row_number().over(Window.partitionBy("seq_id", "part").orderBy("h"))
+    some = hashed.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(64))).withColumn("rank", first).where(F.col("rank") <= size)
+    last = F.row_number().over(Window.partitionBy("seq_id").orderBy("h"))
+    return some.withColumn("rank", last).where(F.col("rank") <= size).select("seq_id", "h")
 
 
 def scaled_sketches(hashed: DataFrame, scale: int, short: int) -> DataFrame:

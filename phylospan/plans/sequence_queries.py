@@ -48,15 +48,15 @@ def q25_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26_heavy_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.heavy_seeds(_seeds(spark, sf_dir, SEED), HEAVY)
+    return kmers.heavy_seeds(_seeds(spark, sf_dir, SEED), HEAVY, kmers.number_of_seeds(_documents(spark, sf_dir), SEED, "text"))
 
 
 def _item_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _item_seeds(spark, sf_dir, SEED)
     documents = _seeds(spark, sf_dir, SEED)
     # Only seeds that occur in an item can be joined, so only these are counted.
-    relevant = materialise(documents.join(items.select("seed").distinct(), "seed", "left_semi").select("seq_id", "pos", "seed"))
-    return kmers.seed_hits(relevant, items, kmers.heavy_seeds(relevant, HEAVY))
+    relevant = materialise(kmers.seeds_among(documents, items))
+    return kmers.seed_hits(relevant, items, kmers.seed_counts(relevant).where(F.col("n") > HEAVY))
 
 
 def q27_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 from phylospan import cli
+from phylospan.sources import lines as src
 
 A = "ACGTTGCAAGGCTTAACCGTTGACCATGCATTTGGGCCATTAGC" * 4
 
@@ -41,6 +42,15 @@ def test_build_run_refilter(spark, tmp_path):
         assert {(r["q_name"], r["q_species"], r["q_size"]) for r in rows} == {("q1", "Qqq rrr", "1000")} and len(rows) == (1 if extra else 2)
 
 
+def test_align_then_run_lines(spark, tmp_path):
+    (tmp_path / "q.fa").write_text(f">q\n{A}\n")
+    (tmp_path / "r.fa").write_text(f">r\nGG{A[20:120]}\n")
+    cli.main(["align", str(tmp_path / "q.fa"), str(tmp_path / "r.fa"), str(tmp_path / "hits"), "--min-score", "90"])
+    rows = src.typed_hits(src.tolerant_hits(src.read_lines(spark, str(tmp_path / "hits")))).collect()
+    assert rows and all(r.q_name == "q" and r.t_size == 102 and r.block_sizes == [r.q_end - r.q_start] for r in rows)
+    assert any(r.strand == "+" and r.n_match >= 100 and r.q_start - r.t_start == 18 for r in rows)
+
+
 def test_split_chunks(spark, tmp_path):
     (tmp_path / "q.fa").write_text(">'q1' some\n" + "A" * 250 + "\n")
     cli.main(["split-chunks", str(tmp_path / "q.fa"), str(tmp_path / "chunks"), "--chunk", "100"])

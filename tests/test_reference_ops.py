@@ -183,6 +183,32 @@ def test_score_islands(spark):
     assert (row.t_start, row.t_end, row.n_match, row.n_mismatch) == (0, 10, 9, 1)
 
 
+def test_align_both_strands(spark):
+    rng = __import__("random").Random(8)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core, other = letters(60), letters(50)
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    changed = core[:30] + ("A" if core[30] != "A" else "C") + core[31:]
+    q = spark.createDataFrame([("q", letters(20) + core + letters(15) + other), ("short", "ACG"), ("none", None)], "seq_id string, seq string")
+    t = spark.createDataFrame([("t", letters(7) + changed + letters(9)), ("u", letters(5) + back(other))], "seq_id string, seq string")
+    got = {(r.q_name, r.t_name, r.strand): r for r in kmers.align(q, t).collect()}
+    plus, minus = got["q", "t", "+"], got["q", "u", "-"]
+    assert len(got) == 2 and plus.q_start <= 20 and plus.q_end >= 80 and plus.n_mismatch >= 1 and plus.t_start - plus.q_start == 7 - 20 and plus.q_size == 145
+    assert minus.q_start <= 95 and minus.q_end == 145 and minus.t_start == 5 and minus.n_match >= 50
+    assert kmers.align(q.where("false"), t).count() == 0
+
+
+def test_heavy_seeds_and_sketches(spark):
+    rows = spark.createDataFrame([(1, "ab" * 300 + "cdefgh"), (2, "xyzuvw" * 3)], "id bigint, text string")
+    table = kmers.seeds(rows, 4, "id", "text")
+    assert kmers.number_of_seeds(rows, 4, "text") == table.count()
+    want = {r.seed: r.n for r in kmers.seed_counts(table).collect() if r.n > 50}
+    assert {r.seed: r.n for r in kmers.heavy_seeds(table, 50).collect()} == want and len(want) == 2
+    whole = sorted(r.h for r in table.where("seq_id = 1").selectExpr("xxhash64(seed) AS h").distinct().collect())
+    assert sorted(r.h for r in kmers.sketches(table, 3).where("seq_id = 1").collect()) == whole[:3]
+    assert kmers.seeds_among(table, table.where("seq_id = 2")).where("seq_id = 1").count() == 0
+
+
 def test_query_species(spark):
     queries = spark.createDataFrame([("a",), ("b",), ("c",)], "seq_id string")
     listed = spark.createDataFrame([("a", "A x"), ("b", "NA")], "seq_id string, species string")
