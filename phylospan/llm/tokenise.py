@@ -7,6 +7,7 @@ contiguous rank array: part boundaries and the ranks of adjacent parts, the mini
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import heapq
 from collections.abc import Iterator
@@ -132,19 +133,20 @@ def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
     tokens, under 1 MB) is read where the query is built and broadcast; executors need no copy of it.
     """
     with open(vocabulary, "rb") as file:
-        content = documents.sparkSession.sparkContext.broadcast(file.read())
+        raw = file.read()
+    content = documents.sparkSession.sparkContext.broadcast(raw)
     words = documents.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_PATTERN), F.lit(0)).alias("words")
     )
-    return words.mapInArrow(_encode_batches(_Content(content)), "doc_id bigint, ids array<int>")
+    return words.mapInArrow(_encode_batches(_Content(content, hashlib.sha256(raw).hexdigest())), "doc_id bigint, ids array<int>")
 
 
 class _Content:
-    """A broadcast with an id that tells vocabularies apart within a worker."""
+    """A broadcast with an id that tells vocabularies apart within a worker: the hash of their content."""
 
-    def __init__(self, broadcast):
+    def __init__(self, broadcast, digest: str):
         self.broadcast = broadcast
-        self.id = id(broadcast)
+        self.id = digest
 
     @property
     def value(self) -> bytes:
