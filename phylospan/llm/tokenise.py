@@ -7,8 +7,8 @@ contiguous rank array: part boundaries and the ranks of adjacent parts, the mini
 
 from __future__ import annotations
 
-import hashlib
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ _S = r"\p{IsWhite_Space}"
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?![^{_S}])|{_S}+"
 
 _NONE = 1 << 30
-_vocabularies: dict[int, tuple[dict[bytes, int], dict[str, list[int]]]] = {}
+_vocabularies: dict[str, tuple[dict[bytes, int], dict[str, list[int]]]] = {}
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
