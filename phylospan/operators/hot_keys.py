@@ -25,13 +25,13 @@ def heavy_keys(rows: DataFrame, key: str = "q_name", percent: int = 2) -> DataFr
 
 
 def hit_summary(hits: DataFrame) -> DataFrame:
-    """One complete row a query id: hits, runs, references, matched bases, extent and mean identity.
+    """One complete row a query id: hits, references, matched bases, extent and mean identity.
 
     Null and blank ids are left out; a null q_end or pct_identity is ignored by its aggregate only. Means are taken over
     five-digit decimals, so that they don't depend on the order of the rows. Extra columns are ignored.
     """
     rows = hits.select(
-        clean_id(F.col("q_name")).alias("q_name"), "t_name", "run_id", "n_match", "q_start", "q_end",
+        clean_id(F.col("q_name")).alias("q_name"), "t_name", "n_match", "q_start", "q_end",
         F.col("pct_identity").cast("decimal(12,5)").alias("pct_identity"),
     ).where(F.col("q_name").isNotNull())
     by_reference = rows.groupBy("q_name", "t_name").agg(

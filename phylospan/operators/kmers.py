@@ -92,11 +92,13 @@ def every_seed_hit(queries: DataFrame, references: DataFrame, block_seeds: int =
     return found
 
 
-def diagonal_islands(hits: DataFrame, k: int, gap: int) -> DataFrame:
-    """(q_id, t_id, diagonal, q_start, q_end, n_seeds): seeds on one diagonal at most `gap` apart."""
+def diagonal_islands(hits: DataFrame, k: int, gap: int, least_seeds: int = 1) -> DataFrame:
+    """(q_id, t_id, diagonal, q_start, q_end, n_seeds): seeds on one diagonal at most `gap` apart; islands of fewer than
+    `least_seeds` are left out."""
     placed = hits.select("q_id", "t_id", (F.col("q_pos") - F.col("t_pos")).alias("diagonal"), F.col("q_pos").alias("q_start"), (F.col("q_pos") + k).alias("q_end")).distinct()
     numbered = number_islands(placed, ["q_id", "t_id", "diagonal"], ["q_start"], "q_start", "q_end", gap)
-    return numbered.groupBy("q_id", "t_id", "diagonal", "island").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), F.count(F.lit(1)).alias("n_seeds")).drop("island")
+    out = numbered.groupBy("q_id", "t_id", "diagonal", "island").agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), F.count(F.lit(1)).alias("n_seeds")).drop("island")
+    return out.where(F.col("n_seeds") >= least_seeds)
 
 
 def score_islands(islands: DataFrame, queries: DataFrame, references: DataFrame, q: tuple[str, str], t: tuple[str, str]) -> DataFrame:

@@ -17,7 +17,7 @@ from phylospan.sources import lines as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CHUNK, SEED, HEAVY, VOTE = 500, 32, 200, 6
+CHUNK, SEED, HEAVY, VOTE, LEAST_SEEDS = 500, 32, 200, 6, 16
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def q27_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q28_seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.diagonal_islands(_item_hits(spark, sf_dir), SEED, 8).where("n_seeds >= 16")
+    return kmers.diagonal_islands(_item_hits(spark, sf_dir), SEED, 8, LEAST_SEEDS)
 
 
 def _scored(spark: SparkSession, sf_dir: str, islands_: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def q47_all_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q48_all_seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q28 with every seed."""
-    return kmers.diagonal_islands(_all_item_hits(spark, sf_dir), SEED, 8).where("n_seeds >= 16")
+    return kmers.diagonal_islands(_all_item_hits(spark, sf_dir), SEED, 8, LEAST_SEEDS)
 
 
 def q49_all_scored_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
