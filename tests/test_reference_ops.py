@@ -127,6 +127,39 @@ def test_next_fit(spark):
     assert got == {(1, "s0"): 1, (1, "s1"): 1, (1, "s2"): 2, (1, "s3"): 1, (1, "s4"): 3, (2, "x"): 1}
 
 
+def _plain_next_fit(rows):
+    """file numbers by the definition, a build at a time"""
+    out = {}
+    for build in {r[0] for r in rows}:
+        files, now, used = 0, 0, 0
+        for _, no, seq, size, limit in sorted((r for r in rows if r[0] == build and r[3]), key=lambda r: (r[1], r[2])):
+            if size > limit:
+                files += 1
+                out[build, seq] = files
+                continue
+            if not now or used + size > limit:
+                files += 1
+                now, used = files, 0
+            used += size
+            out[build, seq] = now
+    return out
+
+
+@pytest.mark.parametrize("most", [12, 900, 100_000])
+def test_next_fit_over_tiles(spark, most):
+    """Builds over several tiles, tiles without a beginning file, tiles of long records only, a null build."""
+    draw = random.Random(most)
+    rows = [(1, k, f"a{k}", draw.choice((1, 2, 3, 5, 8, 13, 50)), most) for k in range(400)]
+    rows += [(2, k, f"b{k}", most + 1 if k < 60 or 100 < k < 160 else draw.randint(1, most), most) for k in range(200)]
+    rows += [(None, k, f"c{k}", draw.randint(1, most), most) for k in range(5)] + [(3, 1, "d", None, most), (4, 1, "e", 1, most)]
+    frame = spark.createDataFrame(rows, "build_id bigint, record_no bigint, seq_id string, seq_length bigint, max_bp bigint")
+    want = _plain_next_fit(rows)
+    for tiles in (1, 6):
+        got = next_fit.next_fit(frame, tiles=tiles).collect()
+        assert len(got) == len(want) and {(r.build_id, r.seq_id): r.file_no for r in got} == want
+    assert next_fit.next_fit(frame.limit(0)).collect() == []
+
+
 def test_seeds_match_plain_windows(spark):
     text = "".join(chr(97 + (k * k) % 7) for k in range(300))
     df = spark.createDataFrame([(1, text), (2, "abc"), (3, None), (4, "abcdefgh")], "seq_id bigint, seq string")
