@@ -4,7 +4,8 @@ A positional inverted index is made of the training text: for each three-word te
 the documents and word positions that hold it. Documents that hold three neighbouring terms of an item in a row (five
 words) are looked at, since every passage with its changes holds such a stretch. Their full
 lists are intersected by offset (position in the document less position in the item): equal offsets are exact
-phrases, offsets that differ by a word or two nearby are phrases with a word changed, added or dropped.
+phrases, offsets that differ by a word or two nearby are phrases with a word changed, added or dropped. A posting also
+names the pairs of words around its term, so that two words beyond a change at a passage's end count as well.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -63,13 +64,31 @@ class TermIndex:
     def code(self, words: list[str]) -> np.ndarray:
         return np.array([self.word[w] for w in words], np.int64)
 
+    def pair_numbers(self, coded: np.ndarray) -> np.ndarray:
+        """The number of the pair of words that begins at each word; -1 where no item has it."""
+        a, b = coded[:-1], coded[1:]
+        return _place(self.pairs, np.where((a < 0) | (b < 0), -1, a * self.base + b))
+
     def keys(self, coded: np.ndarray) -> np.ndarray:
         """The key of the term that begins at each word; -1 where two neighbouring words are in no item."""
-        if len(coded) < TERM_WORDS:
-            return np.empty(0, np.int64)
-        a, b, c = coded[:-2], coded[1:-1], coded[2:]
-        pair = _place(self.pairs, np.where((a < 0) | (b < 0), -1, a * self.base + b))
-        return np.where((pair < 0) | (c < 0), -1, pair * self.base + c)
+        return self.keys_of(self.pair_numbers(coded), coded)
+
+    def keys_of(self, pair: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        return np.where((pair[:-1] < 0) | (coded[2:] < 0), -1, pair[:-1] * self.base + coded[2:]) if len(coded) >= TERM_WORDS else np.empty(0, np.int64)
+
+    def around(self, pair: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For terms that begin at the words `at`: the numbers of the pairs three and two words before, and three and four after, as one number each.
+
+        `text` tells the words' texts apart; a pair that isn't wholly in the term's text is -1.
+        """
+
+        def number(step: int) -> np.ndarray:
+            inside = (at + step >= 0) & (at + step < len(pair))
+            place = np.where(inside, at + step, 0)
+            same = inside & (text[place] == text[at]) & (text[np.minimum(place + 1, len(text) - 1)] == text[at])
+            return np.where(same, pair[place], -1) + 1
+
+        return (number(-3) << 32) + number(-2), (number(3) << 32) + number(4)
 
     def stretches(self, terms: np.ndarray) -> np.ndarray:
         """The key of the stretch that begins at each term: its first and last term share a word and so name all five words."""
@@ -109,7 +128,7 @@ def _near_runs(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def _postings(index):
-    schema = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stretch", pa.int64())])
+    schema = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stretch", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms: TermIndex = index.value
@@ -121,7 +140,8 @@ def _postings(index):
             flat = number[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
             offsets -= offsets[0]
             doc = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            term = terms.terms(terms.keys(flat))
+            pair = terms.pair_numbers(flat)
+            term = terms.terms(terms.keys_of(pair, flat))
             where = np.flatnonzero(term >= 0)
             where = where[doc[where] == doc[where + TERM_WORDS - 1]]
             pos = where - offsets[doc[where]]
@@ -132,7 +152,8 @@ def _postings(index):
                 whole = (where[STRETCH_TERMS - 1 :] - where[: -(STRETCH_TERMS - 1)] == STRETCH_TERMS - 1) & (doc[where[STRETCH_TERMS - 1 :]] == doc[where[: -(STRETCH_TERMS - 1)]])
                 stretch[: -(STRETCH_TERMS - 1)] = np.where(whole, terms.stretches(term[where]), -1)
             ids = batch.column(0).cast(pa.int64()).take(pa.array(doc[where]))
-            yield pa.RecordBatch.from_arrays([pa.array(term[where], pa.int32()), ids, pa.array(pos, pa.int32()), pa.array(stretch)], schema=schema)
+            before, after = terms.around(pair, doc, where)
+            yield pa.RecordBatch.from_arrays([pa.array(term[where], pa.int32()), ids, pa.array(pos, pa.int32()), pa.array(stretch), pa.array(before), pa.array(after)], schema=schema)
 
     return run
 
@@ -144,10 +165,12 @@ def _leaks(runs: pd.Series) -> pd.Series:
     def judge(parts: np.ndarray) -> bool:
         ends: list[tuple[int, int, int, int]] = []  # (doc end, item end, item start, words lost)
         for r in sorted(parts, key=lambda r: (r["first"], r["last"])):
-            first, last, offset, lost = r["first"], r["last"], r["off"], r["lost"]
+            first, last, offset, lost, ahead, behind = r["first"], r["last"], r["off"], r["lost"], r.get("ahead", 0), r.get("behind", 0)
             # Runs come by their first word, so an end that is too far before this one is so for all that follow.
             ends = [e for e in ends if first - e[0] - 1 <= 5]
             options = {lost: first - offset}  # the smallest item start for each number of lost words
+            if ahead:
+                options[lost + 1] = first - offset - ahead
             for doc_end, item_end, item_start, before in ends:
                 in_doc, in_item = first - doc_end - 1, first - offset - item_end - 1
                 if -3 <= min(in_doc, in_item) and max(in_doc, in_item) <= 5 and abs(in_doc - in_item) <= 2 and last > doc_end and last - offset > item_end:
@@ -157,8 +180,9 @@ def _leaks(runs: pd.Series) -> pd.Series:
             reached = first - offset + 1
             for total in sorted(options):
                 length = last - offset - options[total] + 1
-                if length >= MIN_WORDS and total * WORDS_PER_CHANGE <= length:
-                    return True
+                for length, changes in ((length, total), (length + behind, total + (behind > 0))):
+                    if length >= MIN_WORDS and changes * WORDS_PER_CHANGE <= length:
+                        return True
                 # A chain that lost more words is kept only if it is longer.
                 if options[total] < reached:
                     reached = options[total]
@@ -169,56 +193,69 @@ def _leaks(runs: pd.Series) -> pd.Series:
 
 
 def _item_terms(index):
-    """(item_id, item_pos, term, stretch) of every term of the items; the stretch that begins at it, -1 at an item's end."""
-    schema = pa.schema([("item_id", pa.int64()), ("item_pos", pa.int32()), ("term", pa.int32()), ("stretch", pa.int64())])
+    """(item_id, item_pos, term, stretch, item_before, item_after) of every term of the items; the stretch that begins at it, -1 at an item's end."""
+    schema = pa.schema([("item_id", pa.int64()), ("item_pos", pa.int32()), ("term", pa.int32()), ("stretch", pa.int64()), ("item_before", pa.int64()), ("item_after", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: TermIndex = index.value
         for batch in batches:
             for item_id, words in zip(batch.column(0).to_pylist(), words_of(batch.column(1)).to_pylist()):
-                terms = table.terms(table.keys(table.code(words))) if len(words) >= MIN_WORDS else np.empty(0, np.int64)
+                coded = table.code(words) if len(words) >= MIN_WORDS else np.empty(0, np.int64)
+                pair = table.pair_numbers(coded)
+                terms = table.terms(table.keys_of(pair, coded))
                 stretch = np.full(len(terms), -1, np.int64)
                 if len(terms) >= STRETCH_TERMS:
                     stretch[: -(STRETCH_TERMS - 1)] = table.stretches(terms)
-                columns = [np.full(len(terms), item_id), np.arange(len(terms)), terms, stretch]
+                columns = [np.full(len(terms), item_id), np.arange(len(terms)), terms, stretch, *table.around(pair, np.zeros(len(coded)), np.arange(len(terms)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
+def _beyond(found: Column, wanted: Column, ahead: bool) -> Column:
+    """Words of the item that one change at a run's end and the two equal words beyond it make up; 0 if these aren't equal."""
+    upper, lower = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
+    far, near = (upper, lower) if ahead else (lower, upper)
+    equal = lambda a, b: (a > 0) & (a == b)
+    # A word changed, dropped, or added in the document.
+    return F.when(equal(far(found), far(wanted)) | equal(near(found), far(wanted)), 3).when(equal(far(found), near(wanted)), 2).otherwise(0)
+
+
 def _find(spark: SparkSession, documents: DataFrame, items: DataFrame, words: list[list[str]]) -> DataFrame:
     """Leaks of one block of items (item_id, text), whose words are given."""
     index = TermIndex(words)
     shared = spark.sparkContext.broadcast(index)
     # A row a word of the block: small by the block's bound, unless a single item is longer than it.
     small = F.broadcast if sum(map(len, words)) <= 2 * BLOCK_WORDS else lambda df: df
-    terms = items.mapInArrow(_item_terms(shared), "item_id bigint, item_pos int, term int, stretch bigint")
-    item_terms, item_stretches = small(terms.select("item_id", "item_pos", "term")), small(terms.where("stretch >= 0").select("item_id", "stretch").distinct())
-    postings = materialise(documents.mapInArrow(_postings(shared), "term int, doc_id bigint, pos int, stretch bigint"))
+    terms = items.mapInArrow(_item_terms(shared), "item_id bigint, item_pos int, term int, stretch bigint, item_before bigint, item_after bigint")
+    item_terms, item_stretches = small(terms.drop("stretch")), small(terms.where("stretch >= 0").select("item_id", "stretch").distinct())
+    postings = materialise(documents.mapInArrow(_postings(shared), "term int, doc_id bigint, pos int, stretch bigint, before bigint, after bigint"))
     pairs = postings.where("stretch >= 0").join(item_stretches, "stretch").select("doc_id", "item_id").distinct()
-    postings = postings.select("term", "doc_id", "pos").repartition("doc_id")
+    postings = postings.drop("stretch").repartition("doc_id")
     hits = (
         postings.join(pairs, "doc_id").join(item_terms, ["item_id", "term"])
-        .select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("off"))
+        .select("doc_id", "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("off"), _beyond(F.col("before"), F.col("item_before"), True).alias("ahead"), _beyond(F.col("after"), F.col("item_after"), False).alias("behind"))
     )
     along = Window.partitionBy("doc_id", "item_id", "off").orderBy("pos")
     step = F.col("pos") - F.lag("pos").over(along)
     # On one offset, a changed word takes three terms away: the next one is four further on.
     hits = hits.withColumn("step", step).withColumn("run", F.sum(F.when(F.col("step") <= TERM_WORDS + 1, 0).otherwise(1)).over(along))
     runs = hits.groupBy("doc_id", "item_id", "off", "run").agg(
-        F.min("pos").alias("first"), (F.max("pos") + (TERM_WORDS - 1)).alias("last"), F.sum(F.when(F.col("step").between(2, TERM_WORDS + 1), 1).otherwise(0)).alias("lost")
-    )
+        F.min("pos").alias("first"), (F.max("pos") + (TERM_WORDS - 1)).alias("last"), F.sum(F.when(F.col("step").between(2, TERM_WORDS + 1), 1).otherwise(0)).alias("lost"),
+        F.min_by("ahead", "pos").alias("ahead"), F.max_by("behind", "pos").alias("behind"),
+    )
     grouped = runs.groupBy("doc_id", "item_id").agg(
-        F.collect_list(F.struct("first", "last", "off", "lost")).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("words")
+        F.collect_list(F.struct("first", "last", "off", "lost", "ahead", "behind")).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("words")
     )
-    return grouped.where(F.col("words") >= MIN_WORDS - 5).where(_leaks("runs")).select("doc_id", "item_id")
+    return grouped.where(F.col("words") >= MIN_WORDS - 6).where(_leaks("runs")).select("doc_id", "item_id")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id): the documents that hold a passage of at least 15 words of an item, in order and together.
 
     Case, accents, punctuation, markup, line ends, entities and invisible characters don't matter; hidden comments are
-    text. Of a passage, one word in seven may be changed, added or dropped. Null and empty texts hold nothing; items under
+    text. Of a passage, one word in seven may be changed, added or dropped; beyond the outermost of them there must be two
+    unchanged words, as a single one may be equal by chance. Null and empty texts hold nothing; items under
     15 words can't leak; rows with the same id count as one document. The items are the query set: they are taken in
     blocks of about `block_words` words, each block's terms being broadcast; every block is held against all documents.
     """

@@ -96,3 +96,19 @@ def test_many_words_and_all_chains():
     assert judge(run(0, 14, 0, 0)) and not judge(run(0, 13, 0, 0))
     assert judge(run(0, 7, 0, 0), run(9, 17, 0, 0)) and not judge(run(0, 4, 0, 0), run(30, 44, 20, 3))
     assert judge(run(0, 9, 0, 0), *(run(11 + k, 16, k - 3, 1) for k in range(3)), run(11, 20, 0, 0))
+
+
+def test_changes_near_the_ends(spark):
+    """Fifteen words with the third from an end, or from both, changed, added or dropped; a chance word beyond a change is no passage."""
+    item = [f"w{k}" for k in range(40)]
+    changed = lambda p, *at: [("zz" if k in at else w) for k, w in enumerate(p)]
+    dropped = lambda p, at: p[:at] + p[at + 1 :]
+    added = lambda p, at: [*p[:at], "zz", *p[at:]]
+    part = item[10:25]
+    leaks = [changed(part, 2), changed(part, 12), changed(part, 2, 12), dropped(part, 2), dropped(part, 12), added(part, 2), added(part, 13), [*changed(part, 2)]]
+    others = [changed(part, 1), changed(part[:14], 2), changed(part[:14], 11), added(part[:14], 2), changed(part, 3, 11, 7), part[:14], [part[0], "zz", *part[2:14], "zz"], ["zz", part[1], *part[3:]]]
+    frame = [" ".join(["x1 x2", *p, "x3 x4"]) for p in leaks + others] + [" ".join(p) for p in leaks]
+    df = spark.createDataFrame(list(enumerate(frame)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"v{k}" for k in range(20)))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, items).collect()}
+    assert got == {(k, 1) for k in [*range(len(leaks)), *range(len(leaks + others), len(frame))]}
