@@ -10,7 +10,7 @@ names the pairs of words around its term, so that two words beyond a change at a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,9 @@ NEAR_WORDS = 8
 WORDS_PER_CHANGE = 7
 #: With one change in seven words at most, a passage of fifteen words or more holds a stretch of five unchanged ones.
 STRETCH_TERMS = 3
+#: Runs with at most so many words between them are joined.
+REACH_WORDS = 5
+RUN_COLUMNS = ("first", "last", "off", "lost", "ahead", "behind")
 
 #: Tags, the target of a piped link and the name of an inline template: they stand between words, not for words.
 MARKUP = r"</?[a-z][^<>]*>|\[\[[^\[\]|]*\||\{\{[a-z]+\||&[a-z0-9#]{1,8};"
@@ -158,38 +161,68 @@ def _postings(index):
     return run
 
 
-@F.pandas_udf(BooleanType())
-def _leaks(runs: pd.Series) -> pd.Series:
-    """Whether a pair's runs, joined where their offsets drift by a word or two, make up a passage."""
-
-    def judge(parts: np.ndarray) -> bool:
-        ends: list[tuple[int, int, int, int]] = []  # (doc end, item end, item start, words lost)
-        for r in sorted(parts, key=lambda r: (r["first"], r["last"])):
-            first, last, offset, lost, ahead, behind = r["first"], r["last"], r["off"], r["lost"], r.get("ahead", 0), r.get("behind", 0)
-            # Runs come by their first word, so an end that is too far before this one is so for all that follow.
-            ends = [e for e in ends if first - e[0] - 1 <= 5]
-            options = {lost: first - offset}  # the smallest item start for each number of lost words
-            if ahead:
-                options[lost + 1] = first - offset - ahead
-            for doc_end, item_end, item_start, before in ends:
-                in_doc, in_item = first - doc_end - 1, first - offset - item_end - 1
-                if -3 <= min(in_doc, in_item) and max(in_doc, in_item) <= 5 and abs(in_doc - in_item) <= 2 and last > doc_end and last - offset > item_end:
-                    between = max(in_doc, in_item, abs(in_doc - in_item), 1)
-                    total = before + lost + between + (between > 1)
-                    options[total] = min(item_start, options.get(total, item_start))
-            reached = first - offset + 1
-            for total in sorted(options):
-                length = last - offset - options[total] + 1
-                for length, changes in ((length, total), (length + behind, total + (behind > 0))):
-                    if length >= MIN_WORDS and changes * WORDS_PER_CHANGE <= length:
-                        return True
-                # A chain that lost more words is kept only if it is longer.
-                if options[total] < reached:
-                    reached = options[total]
-                    ends.append((last, last - offset, options[total], total))
-        return False
-
-    return runs.map(judge)
+def _is_passage(runs: Iterable[tuple[int, int, int, int, int, int]]) -> bool:
+    """Whether runs (first, last, off, lost, ahead, behind) by first and last word, joined where their offsets drift by a word or two, make up a passage."""
+    ends: list[tuple[int, int, int, int]] = []  # (doc end, item end, item start, words lost)
+    for first, last, offset, lost, ahead, behind in runs:
+        # Runs come by their first word, so an end that is too far before this one is so for all that follow.
+        ends = [e for e in ends if first - e[0] - 1 <= REACH_WORDS]
+        options = {lost: first - offset}  # the smallest item start for each number of lost words
+        if ahead:
+            options[lost + 1] = first - offset - ahead
+        for doc_end, item_end, item_start, before in ends:
+            in_doc, in_item = first - doc_end - 1, first - offset - item_end - 1
+            if -3 <= min(in_doc, in_item) and max(in_doc, in_item) <= REACH_WORDS and abs(in_doc - in_item) <= 2 and last > doc_end and last - offset > item_end:
+                between = max(in_doc, in_item, abs(in_doc - in_item), 1)
+                total = before + lost + between + (between > 1)
+                options[total] = min(item_start, options.get(total, item_start))
+        reached = first - offset + 1
+        for total in sorted(options):
+            length = last - offset - options[total] + 1
+            for length, changes in ((length, total), (length + behind, total + (behind > 0))):
+                if length >= MIN_WORDS and changes * WORDS_PER_CHANGE <= length:
+                    return True
+            # A chain that lost more words is kept only if it is longer.
+            if options[total] < reached:
+                reached = options[total]
+                ends.append((last, last - offset, options[total], total))
+    return False
+
+
+@F.arrow_udf(BooleanType())
+def _leaks(runs: pa.Array) -> pa.Array:
+    """Whether a pair's runs make up a passage.
+
+    Runs beyond each other's reach can't be joined, so each cluster of runs within reach is judged apart: single runs by
+    array arithmetic, others one by one if they cover enough words of the document. Of fifteen words at most two are
+    changed, so thirteen are covered; two words beyond a change at an end take up to three words and one change off.
+    """
+    runs = pa.array(runs) if isinstance(runs, pd.Series) else runs
+    sizes, parts = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False), runs.flatten()
+    leaks = np.zeros(len(runs), bool)
+    if not len(parts):
+        return pa.array(leaks)
+    there = {f.name for f in parts.type}
+    columns = [parts.field(name).to_numpy(zero_copy_only=False).astype(np.int64) if name in there else np.zeros(len(parts), np.int64) for name in RUN_COLUMNS]
+    pair = np.repeat(np.arange(len(runs)), sizes)
+    order = np.lexsort((columns[1], columns[0], pair))
+    pair, columns = pair[order], [c[order] for c in columns]
+    first, last, _, lost, ahead, behind = columns
+    covered = np.maximum.accumulate((pair << 32) + last)  # the farthest word so far, in the pair
+    begin = np.flatnonzero(np.concatenate(([True], (first + (pair << 32))[1:] - covered[:-1] - 1 > REACH_WORDS)))
+    end = np.concatenate((begin[1:], [len(first)]))
+    pair = pair[begin]
+    words = np.maximum.reduceat(last, begin) - first[begin] + 1
+    ahead, behind = np.maximum.reduceat(ahead, begin), np.maximum.reduceat(behind, begin)
+    single = end - begin == 1
+    for a, b in ((0, 0), (ahead, 0), (0, behind), (ahead, behind)):
+        length, changes = words + a + b, lost[begin] + np.minimum(a, 1) + np.minimum(b, 1)
+        leaks[pair[single & (length >= MIN_WORDS) & (changes * WORDS_PER_CHANGE <= length)]] = True
+    least = MIN_WORDS - MIN_WORDS // WORDS_PER_CHANGE - 2 * np.minimum(ahead, 1) - 2 * np.minimum(behind, 1)
+    for k in np.flatnonzero(~single & (words >= least)):
+        if not leaks[pair[k]]:
+            leaks[pair[k]] = _is_passage(zip(*(c[begin[k] : end[k]].tolist() for c in columns)))
+    return pa.array(leaks)
 
 
 def _item_terms(index):
@@ -245,7 +278,7 @@ def _find(spark: SparkSession, documents: DataFrame, items: DataFrame, words: li
         F.min_by("ahead", "pos").alias("ahead"), F.max_by("behind", "pos").alias("behind"),
     )
     grouped = runs.groupBy("doc_id", "item_id").agg(
-        F.collect_list(F.struct("first", "last", "off", "lost", "ahead", "behind")).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("words")
+        F.collect_list(F.struct(*RUN_COLUMNS)).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("words")
     )
     return grouped.where(F.col("words") >= MIN_WORDS - 6).where(_leaks("runs")).select("doc_id", "item_id")
 

@@ -112,3 +112,26 @@ def test_changes_near_the_ends(spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"v{k}" for k in range(20)))], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, items).collect()}
     assert got == {(k, 1) for k in [*range(len(leaks)), *range(len(leaks + others), len(frame))]}
+
+
+def test_only_runs_within_reach_that_cover_enough_are_judged_one_by_one(spark, monkeypatch):
+    """Scattered stock phrases and single runs are judged by arrays; results are those of judging all runs one by one."""
+    rng = random.Random(9)
+
+    def runs():
+        out, at, off = [], rng.randint(0, 9), 0
+        for _ in range(rng.randint(1, 7)):
+            size = rng.randint(3, 9)
+            out.append((at, at + size - 1, off, rng.choice((0, 0, 0, 1)), rng.choice((0, 0, 2, 3)), rng.choice((0, 0, 2, 3))))
+            at, off = max(0, at + size + rng.choice((-3, -1, 0, 1, 1, 2, 3, 5, 6, 9, 30))), off + rng.choice((-2, -1, 0, 0, 0, 1, 2, 7))
+        return out
+
+    as_rows = lambda cases: pa.array([[dict(zip(leakage.RUN_COLUMNS, r)) for r in case] for case in cases])
+    cases = [runs() for _ in range(20_000)]
+    expected = [leakage._is_passage(sorted(case)) for case in cases]
+    assert 500 < sum(expected) < 15_000
+    assert leakage._leaks.func(as_rows(cases)).to_pylist() == expected
+    assert leakage._leaks.func(as_rows(cases)[10:90]).to_pylist() == expected[10:90]
+    monkeypatch.setattr(leakage, "_is_passage", None)
+    scattered = [[(k * 20, k * 20 + 6, k, 0, 0, 0) for k in range(9)], [(0, 14, 3, 0, 0, 0), (40, 46, 1, 0, 0, 0)], [(0, 4, 0, 0, 0, 0), (6, 11, 0, 0, 0, 0)]]
+    assert leakage._leaks.func(as_rows(scattered)).to_pylist() == [False, True, False]
