@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.text import clean_id
-from phylospan.operators import chunks, islands, kmers, lineage, next_fit, reference, regions
+from phylospan.operators import chunks, close_pairs, islands, kmers, lineage, next_fit, regions
 from phylospan.plans import views as v
 from phylospan.session import ensure_checkpoint_dir, materialise, table
 from phylospan.sinks import tsv
@@ -106,10 +106,8 @@ def q30_containment_ani(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q50_close_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against documents with whole sketches: pairs of an identity of 95 or more, by the smaller one's seeds."""
-    whole = 1 << 30
-    hashed = materialise(_seeds(spark, sf_dir, SEED).select("seq_id", F.xxhash64("seed").alias("h")).distinct())
-    pairs = reference.closest_pairs(kmers.all_against_all(hashed, SEED, 95.0, short=whole))
-    return pairs.select(F.col("id_lo").alias("id1"), F.col("id_hi").alias("id2"), F.round("ani", 4).alias("ani"))
+    pairs = close_pairs.close_pairs(_documents(spark, sf_dir), "doc_id", "text", 95.0)
+    return pairs.select("id1", "id2", F.round("ani", 4).alias("ani"))
 
 
 def q31_kmer_vote_label(spark: SparkSession, sf_dir: str) -> DataFrame:
